@@ -34,6 +34,16 @@ class Windows:
             insort(self.room, (left - size, k))
         return f"{self.prefix}{k}"
 
+    def fill(self, size: int, least: int) -> tuple[str, int]:
+        """A piece of an item that must be cut anyway: it fills the roomiest open container, or a new one."""
+        if self.room and self.room[-1][0] >= least:
+            left, k = self.room.pop()
+            if left > size:
+                insort(self.room, (left - size, k))
+            return f"{self.prefix}{k}", min(left, size)
+        self.made += 1
+        return f"{self.prefix}{self.made - 1}", self.capacity
+
     def open(self) -> dict[str, int]:
         return {f"{self.prefix}{k}": self.capacity - left for left, k in self.room}
 
@@ -41,14 +51,14 @@ class Windows:
 _PLACED = "container_kind string, capacity int, container_id string, item_id bigint, piece int, offset bigint, size bigint, open boolean"
 
 
-def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, windows: int = 1024, merge_group: int = 1 << 16) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, windows: int = 8192, merge_group: int = 1 << 16, least_piece: int = 64) -> DataFrame:
     """Assign every item to a container of each kind: container_kind, capacity, container_id, item_id, piece, offset, size.
 
     Items go, in the order in which their partition arrives (within an Arrow batch the largest
     first), into the best fitting of ``windows`` open containers of their partition; nothing is
     shuffled.  Containers still open at a partition's end are then merged as wholes, in groups of
-    about ``merge_group``.  Only an item larger than the capacity is cut, into full pieces and a
-    rest.  A null or negative size counts as 0 and takes no room; equal ids stay separate rows.
+    about ``merge_group``.  Only an item larger than the capacity is cut: its pieces, of at least
+    ``least_piece``, fill the room left in open containers or whole ones, its rest is placed best fit.  A null or negative size counts as 0 and takes no room; equal ids stay separate rows.
     An empty table gives no rows.  ``containers`` holds one row per kind (a small fixed table).
     """
     kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity").distinct().orderBy("container_kind").limit(1000).collect()]
@@ -61,12 +71,13 @@ def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, windo
             b = b.sort_values("size", ascending=False, kind="stable")
             rows = []
             for kind, cap, w in packs:
-                for i, n in zip(b["item_id"].tolist(), b["size"].tolist()):
+                each = list(zip(b["item_id"].tolist(), b["size"].tolist()))
+                for i, n in [x for x in each if x[1] <= cap] + [x for x in each if x[1] > cap]:
                     at = piece = 0
                     while n - at > cap:
-                        rows.append((kind, cap, f"{kind}-{part}-f{w.made}", i, piece, at, cap))
-                        w.made += 1
-                        at, piece = at + cap, piece + 1
+                        where, size = w.fill(n - at, least_piece)
+                        rows.append((kind, cap, where, i, piece, at, size))
+                        at, piece = at + size, piece + 1
                     rows.append((kind, cap, w.place(n - at), i, piece, at, n - at))
             still = set().union(*(w.open() for _, _, w in packs))
             done = []
