@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.cooccurrence import cooccurrence
+from quire.llm.langid import document_languages, fit_languages, segments, stated_language
+from quire.llm.leakage import leaked
 from quire.llm.packing import pack
 from quire.llm.termfreq import term_frequencies
 from quire.session import table
@@ -50,5 +52,28 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "containers"), "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return segments(docs, fit_languages(docs, "doc_id", "text", stated_language(F.col("lang"))), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    stated = table(spark, d, "documents").select("doc_id", stated_language(F.col("lang")).alias("_said"))
+    named = _segments(spark, d).filter("lang is not null").select("doc_id", "lang").distinct()
+    return named.join(stated, "doc_id").filter("_said is null or _said <> lang").select("doc_id", "lang").distinct()
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return document_languages(_segments(spark, d))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
