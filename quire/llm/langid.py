@@ -159,11 +159,12 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 6, r
 
 
 def fit_languages(documents: DataFrame, doc_id: str, text: str, label: Column, sample_rows: int = 4000, sample_chars: int = 600) -> Model:
-    """Train on at most ``sample_rows`` labelled rows (those of smallest hashed id), up to ``sample_chars`` of each."""
-    rows = (
-        documents.select(F.xxhash64(F.col(doc_id)).alias("h"), F.substring(text, 1, sample_chars).alias("t"), label.alias("y"))
-        .filter("y is not null and length(t) >= 20").orderBy("h", "t").limit(sample_rows).collect()
-    )
+    """Train on about ``sample_rows`` labelled rows (those of smallest hashed id, at most twice as many), up to ``sample_chars`` of each."""
+    known = documents.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).alias("t"), label.alias("y")).filter("y is not null and length(t) >= 20")
+    n = max(1, known.count())
+    below = -(1 << 63) + min((1 << 64) - 1, (sample_rows << 64) // n)  # hashes are even over 64 bits
+    rows = known.filter(F.col("h") <= below).limit(2 * sample_rows).select("h", F.substring("t", 1, sample_chars).alias("t"), "y").collect()
+    rows.sort(key=lambda r: (r["h"], r["t"]))
     if not rows:
         return Model(np.zeros((BUCKETS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES)), 1.0, 1.1)
     return train([repaired(r["t"]) for r in rows], [r["y"] for r in rows])

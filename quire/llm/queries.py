@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.cooccurrence import cooccurrence
+from quire.llm.houselines import repeated_lines
 from quire.llm.langid import document_languages, fit_languages, segments, stated_language
 from quire.llm.leakage import leaked
 from quire.llm.packing import pack
+from quire.llm.quality import text_quality
 from quire.llm.termfreq import term_frequencies
 from quire.session import table
 
@@ -48,6 +50,36 @@ def p2_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("term", "occurrences", "records", "n_records", "mark")
 
 
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(table(spark, d, "sentences"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).filter("kind = 'other'").select("doc_id")
+
+
+def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d)
+
+
+def _house(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(table(spark, d, "sentences"), table(spark, d, "corpus_documents"), "doc_id", "sentence_index", "text", "source", "id", "raw_text", "source")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _house(spark, d).select("doc_id", "sentence_index").distinct()
+
+
+def p7_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _house(spark, d).groupBy("source", "line").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sentences").select("doc_id", "sentence_index", "text").filter("text is not null").dropDuplicates(["doc_id", "sentence_index"])
+    kept = s.join(p7_found(spark, d), ["doc_id", "sentence_index"], "left_anti")
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_index", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "containers"), "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
 
