@@ -9,6 +9,7 @@ from quire.llm.cooccurrence import cooccurrence
 from quire.llm.houselines import repeated_lines
 from quire.llm.langid import document_languages, fit_languages, segments, stated_language
 from quire.llm.leakage import leaked
+from quire.llm.neardup import all_pairs, clusters, near_duplicates
 from quire.llm.packing import pack
 from quire.llm.quality import text_quality
 from quire.llm.termfreq import term_frequencies
@@ -62,6 +63,19 @@ def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d)
 
 
+def _near(spark: SparkSession, d: str):
+    # TESTDATA: runs of three words (eight characters where blanks are not written), half of them shared
+    return near_duplicates(table(spark, d, "corpus_documents"), "id", "raw_text", similarity=0.5, run=3, char_run=8)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return all_pairs(*_near(spark, d)).toDF("doc_id_a", "doc_id_b")
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters(*_near(spark, d))
+
+
 def _house(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "sentences"), table(spark, d, "corpus_documents"), "doc_id", "sentence_index", "text", "source", "id", "raw_text", "source")
 
