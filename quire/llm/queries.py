@@ -12,6 +12,7 @@ from quire.llm.leakage import leaked
 from quire.llm.neardup import all_pairs, clusters, near_duplicates
 from quire.llm.packing import pack
 from quire.llm.quality import text_quality
+from quire.llm.sentences import fit_boundaries, split_sentences
 from quire.llm.termfreq import term_frequencies
 from quire.session import table
 
@@ -76,6 +77,25 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters(*_near(spark, d))
 
 
+def _natural(spark: SparkSession, d: str, medium: str) -> DataFrame:
+    """Corpus documents of one medium that are prose."""
+    docs = table(spark, d, "corpus_documents").filter(F.col("medium") == medium).select("id", "raw_text")
+    other = p4_found(spark, d).withColumnRenamed("doc_id", "id")
+    few = other.limit(500_001).count() <= 500_000  # broadcast only while it is known to be small
+    return docs.join(F.broadcast(other) if few else other, "id", "left_anti")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    transcripts = table(spark, d, "corpus_documents").filter("medium = 'transcript'").select("id", "raw_text")
+    model = fit_boundaries(transcripts, "id", "raw_text")
+    return split_sentences(_natural(spark, d, "transcript"), model, "id", "raw_text").select("doc_id", "start_char", "end_char").distinct()
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "corpus_documents").select("id", "raw_text")
+    return split_sentences(docs, fit_boundaries(docs, "id", "raw_text"), "id", "raw_text")
+
+
 def _house(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "sentences"), table(spark, d, "corpus_documents"), "doc_id", "sentence_index", "text", "source", "id", "raw_text", "source")
 
