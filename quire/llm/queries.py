@@ -10,6 +10,7 @@ from quire.llm.houselines import repeated_lines
 from quire.llm.langid import document_languages, fit_languages, segments, stated_language
 from quire.llm.leakage import leaked
 from quire.llm.neardup import all_pairs, clusters, near_duplicates
+from quire.llm.ocr import disturbed_lines, fit_lexicon, repaired_texts
 from quire.llm.packing import pack
 from quire.llm.quality import text_quality
 from quire.llm.sentences import fit_boundaries, split_sentences
@@ -79,12 +80,26 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def _natural(spark: SparkSession, d: str, medium: str) -> DataFrame:
     """Corpus documents of one medium that are prose."""
-    docs = table(spark, d, "corpus_documents").filter(F.col("medium") == medium).select("id", "raw_text")
+    docs = table(spark, d, "corpus_documents").filter(F.col("medium") == medium).select("id", "raw_text", "filename")
     other = p4_found(spark, d).withColumnRenamed("doc_id", "id")
     few = other.limit(500_001).count() <= 500_000  # broadcast only while it is known to be small
     return docs.join(F.broadcast(other) if few else other, "id", "left_anti")
 
 
+def _clean_words(spark: SparkSession, d: str):
+    return fit_lexicon(table(spark, d, "corpus_documents").filter("medium = 'transcript'"), "id", "raw_text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = disturbed_lines(_natural(spark, d, "scan"), _clean_words(spark, d), "id", "raw_text", "filename")
+    return lines.select("doc_id", "line_no", "kind").distinct()
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    scans = table(spark, d, "corpus_documents").filter("medium = 'scan'")
+    return repaired_texts(scans, _clean_words(spark, d), "id", "raw_text", "filename")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     transcripts = table(spark, d, "corpus_documents").filter("medium = 'transcript'").select("id", "raw_text")
     model = fit_boundaries(transcripts, "id", "raw_text")
