@@ -45,9 +45,27 @@ class _Ids(dict):
 _IDS = _Ids()
 
 
-def line_key(line: str) -> int:
-    letters = "".join(_WORD.findall(line.lower())).strip("0123456789")
-    return xxhash.xxh32_intdigest(letters) if len(letters) >= 8 else -1
+def body(text: str) -> str:
+    """The text without its furniture, told by its place alone: lines without letters, short lines that
+    stand alone between blank ones (headings, house lines), lines that come again in the same text."""
+    lines = text.split("\n")
+    plain = [x.strip() for x in lines]
+    core = [x.strip("0123456789 ()[]{}.,-—–|·*") for x in plain]
+    again = {}
+    for c in core:
+        if 8 < len(c) < 80:
+            c = c.lower()
+            again[c] = again.get(c, 0) + 1
+    kept, last = [], len(lines) - 1
+    for k, x in enumerate(lines):
+        n = len(plain[k])
+        if n < 100 and n:
+            alone = (k == 0 or not plain[k - 1]) and (k == last or not plain[k + 1])
+            if alone or n <= 14 and not any(c.isalpha() for c in x) or n < 80 and again.get(core[k].lower(), 0) > 1:
+                continue
+        kept.append(x)
+    slim = "\n".join(kept)
+    return slim if 2 * len(slim) > len(text) else text  # else the lines are the text
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -55,19 +73,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _U(29))) >> _U(32)
 
 
-def tokens(text: str, run: int, char_run: int, dropped: set[int] | None = None) -> np.ndarray:
-    """Distinct 32-bit hashes of the text's word runs, its furniture and ``dropped`` lines aside."""
-    if dropped is not None:
-        lines = text.split("\n")
-        keys = [line_key(x) if len(x) < 120 else -1 for x in lines]
-        kept = [x for x, k in zip(lines, keys) if k < 0 or k not in dropped and not (keys.count(k) > 1 and len(x) < 80)]
-        kept = [x for x in kept if len(x) > 14 or not x or any(c.isalpha() for c in x)]
-        slim = "\n".join(kept)
-        if 2 * len(slim) > len(text):  # else the lines are the text
-            text = slim
+def tokens(text: str, run: int, char_run: int) -> np.ndarray:
+    """Distinct 32-bit hashes of the word runs of the text's body."""
+    text = body(text)
     low = _BREAK.sub("", text).lower()
     with np.errstate(over="ignore"):
-        if len(_UNSPACED.findall(low)) * 4 > len(low):
+        if not low or low.isascii() or np.frombuffer(low.encode("utf-32-le"), np.uint32).max() < 0xE00:
+            unspaced = False
+        else:
+            unspaced = len(_UNSPACED.findall(low)) * 4 > len(low)
+        if unspaced:
             c = np.frombuffer("".join(x for x in low if x.isalnum() or x > "ฯ" and not x.isspace() and x not in "。，！？、；：“”‘’「」").encode("utf-32-le"), np.uint32).astype(_U)
             n = len(c) - char_run + 1
             if n < 1:
@@ -92,29 +107,25 @@ def group_counts(tok: np.ndarray) -> list[int]:
 
 
 def _survey(docs: DataFrame, kind: str, run: int, char_run: int) -> DataFrame:
-    """One pass: partial sketches of token and line counts, and every record's exact-copy key."""
+    """One pass over the texts: a partial sketch of token counts, every record's tokens and exact-copy key."""
     size = 1 << SKETCH_BITS
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = {"t": np.zeros(size, np.uint32), "l": np.zeros(size, np.uint32)}
+        sketch = np.zeros(size, np.uint32)
         for b in batches:
-            copies = []
+            rows = []
             for i, text in zip(b["id"], b["text"]):
                 t = tokens(text, run, char_run)
-                sketch["t"][np.unique(t & np.uint32(size - 1))] += 1
-                for k in {line_key(x) for x in text.split("\n") if len(x) < 120}:
-                    if k >= 0:
-                        sketch["l"][k & (size - 1)] += 1
-                d = xxhash.xxh3_128_digest(" ".join(text.split()))
-                copies.append(("c", 0, d, i))
-            yield pd.DataFrame(copies, columns=["kind", "chunk", "blob", "id"])
-        out = [(k, c, zlib.compress(v[c << CHUNK_BITS : (c + 1) << CHUNK_BITS].tobytes(), 1), None) for k, v in sketch.items() if v.any() for c in range(size >> CHUNK_BITS)]
-        yield pd.DataFrame(out, columns=["kind", "chunk", "blob", "id"]).astype({"id": "Int64"} if kind in ("bigint", "int") else {})
+                sketch[np.unique(t & np.uint32(size - 1))] += 1
+                rows.append(("c", 0, xxhash.xxh3_128_digest(" ".join(text.split())), i, t.tobytes()))
+            yield pd.DataFrame(rows, columns=["kind", "chunk", "blob", "id", "tok"])
+        out = [("t", c, zlib.compress(sketch[c << CHUNK_BITS : (c + 1) << CHUNK_BITS].tobytes(), 1), None, None) for c in range(size >> CHUNK_BITS)] if sketch.any() else []
+        yield pd.DataFrame(out, columns=["kind", "chunk", "blob", "id", "tok"]).astype({"id": "Int64"} if kind in ("bigint", "int") else {})
 
-    return docs.mapInPandas(look, f"kind string, chunk int, blob binary, id {kind}")
+    return docs.mapInPandas(look, f"kind string, chunk int, blob binary, id {kind}, tok binary")
 
 
-def _merged(survey: DataFrame, which: str) -> np.ndarray:
+def _merged(survey: DataFrame) -> np.ndarray:
     """The sum of all partial sketches: an array of fixed size."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +138,7 @@ def _merged(survey: DataFrame, which: str) -> np.ndarray:
 
     size = 1 << SKETCH_BITS
     out = np.zeros(size, np.uint32)
-    parts = survey.filter(F.col("kind") == which).select("chunk", "blob").repartition(min(size >> CHUNK_BITS, 8), "chunk").mapInPandas(add, "chunk int, blob binary")
+    parts = survey.filter("kind = 't'").select("chunk", "blob").repartition(min(size >> CHUNK_BITS, 8), "chunk").mapInPandas(add, "chunk int, blob binary")
     for r in parts.collect():  # size >> CHUNK_BITS rows
         out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] += np.frombuffer(r["blob"], np.uint32)
     return out
@@ -139,7 +150,7 @@ def _some(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> Dat
     return docs.join(F.broadcast(ids) if few else ids, "id", how)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, run: int = 5, char_run: int = 12, shared: int = 8, house_share: float = 0.0005):
+def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, run: int = 5, char_run: int = 12, shared: int = 8):
     """(members, pairs) of near-duplicate records.
 
     ``members`` has every record's id and the id of its class of exact copies (equal but for
@@ -157,58 +168,49 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
     doubled = classes.filter("n > 1").select("blob", "class_id")
     members = cut_lineage(copies.join(doubled, "blob").select("id", "class_id").distinct())
     rest = members.filter("id <> class_id").select("id").distinct()
-    n_docs = copies.count()
-    lines = _merged(survey, "l")
-    often = max(8.0, house_share * n_docs)
-    house = frozenset(np.flatnonzero(lines >= often).tolist())  # at most (lines per record) / house_share
-    sc = docs.sparkSession.sparkContext
-    order = sc.broadcast((_merged(survey, "t"), house))
+    order = docs.sparkSession.sparkContext.broadcast(_merged(survey))
     t = similarity
-
-    def dropped(h: frozenset) -> "_Folded":
-        return _Folded(h)
+    held = survey.filter("kind = 'c'").select("id", "tok")
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, h = order.value
-        drop = dropped(h)
+        counts = order.value.astype(np.uint64)
         for b in batches:
-            toks, ids, ns, poss = [], [], [], []
-            for i, text_ in zip(b["id"].tolist(), b["text"].tolist()):
-                tok = tokens(text_, run, char_run, drop)
+            heads, ids, ns = [], [], []
+            for i, blob in zip(b["id"].tolist(), b["tok"].tolist()):
+                tok = np.frombuffer(blob, np.uint32)
                 n = len(tok)
                 if not n:
                     continue
                 top = min(n, int(n * (1 - t)) + 1 + shared)
-                c = counts[tok & np.uint32((1 << SKETCH_BITS) - 1)].astype(np.uint64)
-                key = np.sort(c << _U(32) | tok.astype(np.uint64))[:top]
-                toks.append((key & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                key = counts[tok & np.uint32((1 << SKETCH_BITS) - 1)] << _U(32) | tok
+                key = np.sort(np.partition(key, top - 1)[:top] if top < n else key)
+                heads.append(np.arange(top, dtype=np.int64) << 32 | (key & _U(0xFFFFFFFF)).astype(np.int64))
                 ids.append(np.full(top, i))
                 ns.append(np.full(top, n, np.int32))
-                poss.append(np.arange(top, dtype=np.int32))
-            if toks:
-                yield pd.DataFrame({"token": np.concatenate(toks), "id": np.concatenate(ids), "n": np.concatenate(ns), "pos": np.concatenate(poss)})
+            if heads:
+                yield pd.DataFrame({"id": np.concatenate(ids), "n": np.concatenate(ns), "head": np.concatenate(heads)})
 
-    heads = _some(base, rest, "left_anti").mapInPandas(prefixes, f"token int, id {kind}, n int, pos int")
+    # a head holds a token in its lower half and the token's place in the record's order in its upper one
+    heads = _some(held, rest, "left_anti").mapInPandas(prefixes, f"id {kind}, n int, head bigint")
+    token, pos = (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)), (lambda c: F.shiftright(F.col(c), 32))
     # both sides are one exchange
-    x, y = heads.repartition("token").alias("x"), heads.repartition("token").alias("y")
+    x, y = heads.repartition(token("head")).alias("x"), heads.repartition(token("head")).alias("y")
     need = F.ceil(t / (1 + t) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     least = F.least(F.lit(shared), need)
-    near = x.join(y, F.col("x.token") == F.col("y.token")).filter(
+    near = x.join(y, token("x.head") == token("y.head")).filter(
         (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= t * F.col("y.n")) & (F.col("y.n") >= t * F.col("x.n"))
-        & (F.col("x.pos") < F.col("x.n") - need + least) & (F.col("y.pos") < F.col("y.n") - need + least)
+        & (pos("x.head") < F.col("x.n") - need + least) & (pos("y.head") < F.col("y.n") - need + least)
     )
     found = near.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(least).alias("k")).filter("c >= k")
     found = cut_lineage(found.select("a", "b"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, h = order.value
-        drop = dropped(h)
         for b in batches:
-            tok = [tokens(x, run, char_run, drop) for x in b["text"]]
+            tok = [np.frombuffer(v, np.uint32) for v in b["tok"]]
             yield pd.DataFrame({"id": b["id"], "groups": [group_counts(v) for v in tok], "tok": [v.view(np.int32) for v in tok]})
 
-    sets = cut_lineage(_some(base, wanted, "left_semi").dropDuplicates(["id"]).mapInPandas(whole, f"id {kind}, groups array<int>, tok array<int>"))
+    sets = cut_lineage(_some(held, wanted, "left_semi").dropDuplicates(["id"]).mapInPandas(whole, f"id {kind}, groups array<int>, tok array<int>"))
     a, b = (sets.select(F.col("id").alias(k), F.col("groups").alias(f"g{k}"), F.col("tok").alias(f"t{k}")) for k in "ab")
     size = F.size("ta") + F.size("tb")
     bound = F.aggregate(F.zip_with("ga", "gb", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
@@ -217,16 +219,6 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
     return members, pairs
 
 
-class _Folded:
-    """Membership of line keys among the sketch cells that count as house lines."""
-
-    def __init__(self, cells: frozenset) -> None:
-        self.cells = cells
-
-    def __contains__(self, key: int) -> bool:
-        return (key & ((1 << SKETCH_BITS) - 1)) in self.cells
-
-
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of records, classes of copies written out: (a, b), a < b."""
     m = members.select(F.col("class_id").alias("k"), F.col("id").alias("m"))
