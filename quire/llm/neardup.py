@@ -102,8 +102,9 @@ def tokens(text: str, run: int, char_run: int) -> np.ndarray:
         return np.unique(_mix(h)).astype(np.uint32)
 
 
-def group_counts(tok: np.ndarray) -> list[int]:
-    return np.bincount(tok >> np.uint32(32 - 5), minlength=GROUPS).tolist()
+def group_counts(tok: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each of GROUPS groups: the record's point."""
+    return np.bincount(tok % np.uint32(GROUPS), minlength=GROUPS)
 
 
 def _survey(docs: DataFrame, kind: str, run: int, char_run: int) -> DataFrame:
@@ -203,19 +204,26 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
     )
     found = near.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(least).alias("k")).filter("c >= k")
     found = cut_lineage(found.select("a", "b"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = found.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    few = links.limit(500_001).count() <= 500_000  # the links are broadcast only while they are known to be few
+    joined = held.join(F.broadcast(links) if few else links, "id")
+    both = joined.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("tok"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("tok"))).alias("tb"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for i, j, ta, tb in zip(x["a"], x["b"], x["ta"], x["tb"]):
+                u, v = np.frombuffer(ta, np.uint32), np.frombuffer(tb, np.uint32)
+                n = len(u) + len(v)
+                # the overlap is at most the sum of the smaller of each group's counts
+                if np.minimum(group_counts(u), group_counts(v)).sum() * (1 + t) < t * n - 1e-9:
+                    continue
+                k = len(np.intersect1d(u, v, assume_unique=True))
+                if k / (n - k) >= t:
+                    out.append((i, j, k / (n - k)))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            tok = [np.frombuffer(v, np.uint32) for v in b["tok"]]
-            yield pd.DataFrame({"id": b["id"], "groups": [group_counts(v) for v in tok], "tok": [v.view(np.int32) for v in tok]})
-
-    sets = cut_lineage(_some(held, wanted, "left_semi").dropDuplicates(["id"]).mapInPandas(whole, f"id {kind}, groups array<int>, tok array<int>"))
-    a, b = (sets.select(F.col("id").alias(k), F.col("groups").alias(f"g{k}"), F.col("tok").alias(f"t{k}")) for k in "ab")
-    size = F.size("ta") + F.size("tb")
-    bound = F.aggregate(F.zip_with("ga", "gb", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    both = F.size(F.array_intersect("ta", "tb"))
-    pairs = found.join(a, "a").join(b, "b").filter(bound * (1 + t) >= t * size - 1e-9).select("a", "b", (both / (size - both)).alias("similarity")).filter(F.col("similarity") >= t)
+    pairs = both.mapInPandas(verify, f"a {kind}, b {kind}, similarity double")
     return members, pairs
 
 
