@@ -151,7 +151,7 @@ def _some(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> Dat
     return docs.join(F.broadcast(ids) if few else ids, "id", how)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, run: int = 5, char_run: int = 12, shared: int = 8):
+def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, run: int = 5, char_run: int = 12, shared: int = 14):
     """(members, pairs) of near-duplicate records.
 
     ``members`` has every record's id and the id of its class of exact copies (equal but for
