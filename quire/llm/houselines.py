@@ -169,7 +169,7 @@ def repeated_lines(sentences: DataFrame, documents: DataFrame, doc_id: str, inde
 
         all_ = rows.mapInPandas(spread, f"source string, src bigint, doc_id {kind}, sentence_index int, h bigint, words array<string>, chunk bigint, n int")
         hit = all_.join(often.withColumn("hit", F.lit(1)), ["src", "chunk"], "left")
-        near = hit.groupBy("source", "src", "doc_id", "sentence_index", "h", "words").agg(F.sum(F.col("n") * F.coalesce("hit", F.lit(0))).alias("h"), F.sum("n").alias("t")).filter(F.col("h") >= covered * F.col("t")).drop("h", "t")
+        near = hit.groupBy("source", "src", "doc_id", "sentence_index", "h", "words").agg(F.sum(F.col("n") * F.coalesce("hit", F.lit(0))).alias("_hit"), F.sum("n").alias("_all")).filter(F.col("_hit") >= covered * F.col("_all")).drop("_hit", "_all")
 
     # a sentence of the prose cut off by a wrong split is no line: the row must fill one of its document
     whole = documents.filter(F.col(documents_text).isNotNull()).select(F.col(documents_id).alias("doc_id"), F.explode(F.array_distinct(F.transform(F.split(documents_text, "\n"), lambda x: F.xxhash64(letters_only(x))))).alias("h"))

@@ -159,7 +159,8 @@ def covered(item: list[str], words: list[str], damage: float) -> int:
                 cur[j + 1], cstart[j + 1], cgood[j + 1] = cur[j] - cost, cstart[j], cgood[j]
         live = cstart >= 0
         span = np.where(live, i - cstart + 1, 0)
-        ok = live & (cgood >= (1 - 1.6 * damage) * span)
+        ended = np.concatenate([[False], hit & ~use])  # a stretch ends with a word that both have
+        ok = live & ended & (cgood >= (1 - 1.6 * damage) * span)
         best = max(best, int(np.max(np.where(ok, span, 0), initial=0)))
         prev, pstart, pgood = cur, cstart, cgood
     return best

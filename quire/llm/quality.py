@@ -55,28 +55,29 @@ def document_statistics(rows: DataFrame, doc_id: str, index: str, text: str, rep
     """One row per document: its STATISTICS, ``n_rows`` and ``natural_share``.
 
     Rows whose letters stand in at least ``least`` documents and ``repeated`` of all (house lines)
-    do not count; a document with no other rows has n_rows 0 and null statistics.  A sentence row
+    do not count; a document with no other rows has n_rows 0 and is taken for prose.  A sentence row
     loaded twice counts once.  Null texts and null indices are left out; an empty text counts as a
     row without words; an empty table gives no rows.
     """
     base = rows.select(F.col(doc_id).alias("doc_id"), F.col(index).alias("i"), F.col(text).alias("text")).filter("text is not null and i is not null").withColumn("h", F.xxhash64(skeleton(F.col("text"))))
-    by_line = base.filter(F.length("text") >= 12).groupBy("h", "doc_id").agg(F.lit(1).alias("_1")).groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    by_line = base.filter(F.length(skeleton(F.col("text"))) >= 10).groupBy("h", "doc_id").agg(F.lit(1).alias("_1")).groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
     common = common_words(base, "text")
     n_docs = base.agg(F.count_distinct("doc_id")).first()[0]
-    house = by_line.filter(F.col("docs") >= max(float(least), repeated * n_docs)).select("h")  # at most (rows per document) / repeated
-    own = base.join(F.broadcast(house), "h", "left_anti") if house.limit(500_001).count() <= 500_000 else base.join(house, "h", "left_anti")
+    house = by_line.filter(F.col("docs") >= max(float(least), repeated * n_docs)).select("h", F.lit(0).alias("own"))  # at most (rows per document) / repeated
+    own = base.join(F.broadcast(house) if house.limit(500_001).count() <= 500_000 else house, "h", "left").withColumn("own", F.coalesce("own", F.lit(1)))
     s = row_statistics(F.col("text"), common)
-    r = own.select("doc_id", "i", *[v.alias(k) for k, v in s.items()])
+    r = own.select("doc_id", "i", "own", *[v.alias(k) for k, v in s.items()])
     natural = F.col("native") & (F.col("chars") >= 6) | F.col("terminal") & (F.col("n_words") >= 5) & (F.col("n_lower") >= 3)
     r = r.withColumns({"natural": F.when(natural, F.col("chars")).otherwise(0), "terminal": F.when(F.col("terminal"), F.col("chars")).otherwise(0),
                        "n_distinct": F.size(F.array_distinct(F.transform("words", F.lower))), "letters": F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)),
                        "n_native": F.when(F.col("native"), F.col("n_words")).otherwise(0)}).drop("words", "native")
     r = r.groupBy("doc_id", "i").agg(*[F.max(c).alias(c) for c in r.columns if c not in ("doc_id", "i")])
-    total = {c: F.sum(c) for c in ("chars", "digits", "symbols", "terminal", "natural", "n_words", "n_common", "n_lower", "n_distinct", "letters", "n_native")}
+    total = {c: F.sum(F.col(c) * F.col("own")) for c in ("chars", "digits", "symbols", "terminal", "natural", "n_words", "n_common", "n_lower", "n_distinct", "letters", "n_native")}
     chars, words = F.greatest(total["chars"], F.lit(1)), F.greatest(total["n_words"], F.lit(1))
+    n_rows = F.sum("own")
     return r.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), total["n_words"].alias("n_words"), (total["terminal"] / chars).alias("terminal_share"), (total["digits"] / chars).alias("digit_share"),
-        (total["symbols"] / chars).alias("symbol_share"), (words / F.count(F.lit(1))).alias("words_per_row"), (total["letters"] / words).alias("mean_word_length"),
+        n_rows.alias("n_rows"), total["n_words"].alias("n_words"), (total["terminal"] / chars).alias("terminal_share"), (total["digits"] / chars).alias("digit_share"),
+        (total["symbols"] / chars).alias("symbol_share"), (words / F.greatest(n_rows, F.lit(1))).alias("words_per_row"), (total["letters"] / words).alias("mean_word_length"),
         (F.greatest(total["n_common"], total["n_native"]) / words).alias("common_share"), (total["n_distinct"] / words).alias("distinct_share"),
         (F.greatest(total["n_lower"], total["n_native"]) / words).alias("lower_share"), (total["natural"] / chars).alias("natural_share"),
     )
@@ -152,12 +153,14 @@ def to_case(rules: list[Rule], positive: str = "other", default: str = "prose")
 
 
 def learn_rules(statistics: DataFrame, sample_rows: int = 20_000, sure: tuple[float, float] = (0.3, 0.75)) -> list[Rule]:
-    """Rules from at most ``sample_rows`` documents (of smallest hashed id).
+    """Rules from about ``sample_rows`` documents (of smallest hashed id, at most twice as many).
 
     A document is labelled other than prose where at most ``sure[0]`` of its characters lie in rows
     that look like whole sentences, prose from ``sure[1]``; those between teach nothing.
     """
-    pdf: pd.DataFrame = statistics.filter("n_rows > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
+    some = statistics.filter("n_rows > 0")
+    below = -(1 << 63) + min((1 << 64) - 1, (sample_rows << 64) // max(1, some.count()))  # hashes are even over 64 bits
+    pdf: pd.DataFrame = some.filter(F.xxhash64("doc_id") <= below).limit(2 * sample_rows).toPandas().sort_values("doc_id", kind="stable")
     known = pdf[(pdf["natural_share"] <= sure[0]) | (pdf["natural_share"] >= sure[1])]
     return induce(known[list(STATISTICS)].to_numpy(float), (known["natural_share"] <= sure[0]).to_numpy(), STATISTICS)
 
