@@ -31,7 +31,7 @@ def _words(values: list[str]) -> Column:
 def representation_scores(text: Column, epithets: Column, lexicon: dict[str, list[str]]) -> dict[str, Column]:
     """Tenths per class: 10 for every word of the lexicon in the text, 12 if it is an epithet."""
     epi = F.transform(epithets, F.lower)
-    words = F.array_union(F.array_distinct(az_words(text)), epi)
+    words = F.array_union(F.array_distinct(az_words(F.coalesce(text, F.lit("")))), epi)
     out = {}
     for k, v in lexicon.items():
         hits = F.array_intersect(words, _words(sorted(set(v))))
@@ -112,15 +112,15 @@ def dependency_epithets(tokens: Column, surface: Column) -> Column:
 def essentialising(text: Column, forms: Column | None, patterns: list[tuple[str, str]] = ESSENTIAL) -> Column:
     """struct<pattern, span> of the longest phrase; only each pattern's first match counts, and its
     word must be one of the entity's ``forms`` (any, if null). Spans are kept to 120 characters."""
-    best = F.struct(F.lit("").alias("pattern"), F.lit("").alias("span"))
     x = F.coalesce(text, F.lit(""))
+    each = []
     for name, p in patterns:
         span = F.trim(F.regexp_extract(x, "(?i)" + p, 0))
-        ok = span != ""
-        if forms is not None:
-            ok = ok & F.array_contains(forms, F.lower(F.regexp_extract(x, "(?i)" + p, 1)))
-        best = F.when(ok & (F.length(span) > F.length(best["span"])), F.struct(F.lit(name).alias("pattern"), F.left(span, F.lit(120)).alias("span"))).otherwise(best)
-    return best
+        allowed = F.lit(True) if forms is None else F.array_contains(forms, F.lower(F.regexp_extract(x, "(?i)" + p, 1)))
+        each.append(F.struct(F.lit(name).alias("pattern"), F.when(allowed, span).otherwise("").alias("span")))
+    # folded over an array: nested conditions would double the expression with every pattern
+    none = F.struct(F.lit("").alias("pattern"), F.lit("").alias("span"))
+    return F.aggregate(F.array(*each), none, lambda best, e: F.when(F.length(e["span"]) > F.length(best["span"]), F.struct(e["pattern"].alias("pattern"), F.left(e["span"], F.lit(120)).alias("span"))).otherwise(best))
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]] = TRANSLATOR) -> Column:

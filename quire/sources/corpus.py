@@ -16,7 +16,7 @@ def read_texts(spark: SparkSession, folder: str, selectors: list[str] = ()) -> D
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return select_documents(raw.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), F.decode("content", "UTF-8").alias("text")), "file_name", list(selectors))
+    return select_documents(raw.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "file_name", list(selectors))
 
 
 def file_metadata(file_name: Column) -> Column:
