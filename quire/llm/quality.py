@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
 
-STATISTICS = ("terminal_share", "digit_share", "symbol_share", "words_per_row", "mean_word_length", "common_share", "distinct_share", "lower_share")
+STATISTICS = ("terminal_share", "digit_share", "symbol_share", "words_per_row", "mean_word_length", "common_share", "distinct_share", "lower_share", "enumerated_share")
 
 #: Marks that may close a sentence, with closing quotes or brackets after them.
 _TERMINAL = r"[.!?…。！？।][”’\"»“'\)\]]*\s*$"
+#: A sentence that ends within a row: a row merged from several has its marks there.
+_INSIDE = r"[\p{L}\p{M}]{3,}[.!?…][”’\"»“'\)]*\s+[“„«\"‘(]*\p{Lu}\p{L}"
+_ENUMERATED = r"^\s*(?:\(?[0-9]+[.)]|[-•*▪])\s+\S"
 _UNSPACED = r"[฀-๿㐀-鿿]"
 _PLAIN = r"[\p{L}\p{M}\p{N}\s.,;:!?'\"“”‘’„«»()\[\]\-–—…。，！？、；：।]"
 
@@ -43,7 +46,8 @@ def row_statistics(text: Column, common: list[str]) -> dict[str, Column]:
         "digits": length - F.length(bare),
         "symbols": F.length(F.regexp_replace(text, _PLAIN, "")),
         "native": native,
-        "terminal": native | (text.rlike(_TERMINAL) & (F.size(words) >= 4)),
+        "terminal": native | (text.rlike(_TERMINAL) & (F.size(words) >= 4)) | (text.rlike(_INSIDE) & (F.size(words) >= 10)),
+        "enumerated": text.rlike(_ENUMERATED),
         "words": words,
         "n_words": F.size(words),
         "n_common": F.size(F.filter(words, lambda w: F.lower(w).isin(common))) if common else F.lit(0),
@@ -67,19 +71,19 @@ def document_statistics(rows: DataFrame, doc_id: str, index: str, text: str, rep
     own = base.join(F.broadcast(house) if house.limit(500_001).count() <= 500_000 else house, "h", "left").withColumn("own", F.coalesce("own", F.lit(1)))
     s = row_statistics(F.col("text"), common)
     r = own.select("doc_id", "i", "own", *[v.alias(k) for k, v in s.items()])
-    natural = F.col("native") & (F.col("chars") >= 6) | F.col("terminal") & (F.col("n_words") >= 5) & (F.col("n_lower") >= 3)
-    r = r.withColumns({"natural": F.when(natural, F.col("chars")).otherwise(0), "terminal": F.when(F.col("terminal"), F.col("chars")).otherwise(0),
+    natural = ~F.col("enumerated") & (F.col("native") & (F.col("chars") >= 6) | F.col("terminal") & (F.col("n_words") >= 5) & (F.col("n_lower") >= 3))
+    r = r.withColumns({"natural": F.when(natural, F.col("chars")).otherwise(0), "terminal": F.when(F.col("terminal"), F.col("chars")).otherwise(0), "enumerated": F.when(F.col("enumerated"), F.col("chars")).otherwise(0),
                        "n_distinct": F.size(F.array_distinct(F.transform("words", F.lower))), "letters": F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)),
                        "n_native": F.when(F.col("native"), F.col("n_words")).otherwise(0)}).drop("words", "native")
     r = r.groupBy("doc_id", "i").agg(*[F.max(c).alias(c) for c in r.columns if c not in ("doc_id", "i")])
-    total = {c: F.sum(F.col(c) * F.col("own")) for c in ("chars", "digits", "symbols", "terminal", "natural", "n_words", "n_common", "n_lower", "n_distinct", "letters", "n_native")}
+    total = {c: F.sum(F.col(c) * F.col("own")) for c in ("chars", "digits", "symbols", "terminal", "natural", "enumerated", "n_words", "n_common", "n_lower", "n_distinct", "letters", "n_native")}
     chars, words = F.greatest(total["chars"], F.lit(1)), F.greatest(total["n_words"], F.lit(1))
     n_rows = F.sum("own")
     return r.groupBy("doc_id").agg(
         n_rows.alias("n_rows"), total["n_words"].alias("n_words"), (total["terminal"] / chars).alias("terminal_share"), (total["digits"] / chars).alias("digit_share"),
         (total["symbols"] / chars).alias("symbol_share"), (words / F.greatest(n_rows, F.lit(1))).alias("words_per_row"), (total["letters"] / words).alias("mean_word_length"),
         (F.greatest(total["n_common"], total["n_native"]) / words).alias("common_share"), (total["n_distinct"] / words).alias("distinct_share"),
-        (F.greatest(total["n_lower"], total["n_native"]) / words).alias("lower_share"), (total["natural"] / chars).alias("natural_share"),
+        (F.greatest(total["n_lower"], total["n_native"]) / words).alias("lower_share"), (total["enumerated"] / chars).alias("enumerated_share"), (total["natural"] / chars).alias("natural_share"),
     )
 
 
