@@ -3,10 +3,11 @@
 Tokens are runs of words (of characters in scripts without blanks).  They are hashed into groups
 whose counts, over the whole collection, give one fixed order from rare to frequent: a sketch of
 fixed size, built in one pass.  Two records whose similarity reaches t share at least K tokens
-among their rarest (1 - t) n + K, so an equi-join on those tokens finds every pair; the pairs'
-own group counts then bound the overlap by the sum of coordinate minima, and what is left is
-verified on all tokens.  A box over group counts (an R-tree's node) excludes next to nothing for
-hashed tokens, see README; the order by rarity does its work instead.
+among their rarest (1 - t) n + K, so an equi-join on those tokens finds every pair.  A record's
+point is its token count in each of GROUPS groups; the sum of coordinate minima of two points
+bounds their overlap, and what is left is verified on all tokens.  The points are not indexed in
+an R-tree: its boxes exclude next to nothing for hashed tokens (measured, see README), so the
+order by rarity finds the candidates instead.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.session import cut_lineage
 
 SKETCH_BITS, CHUNK_BITS = 20, 15
-GROUPS = 32
+GROUPS = 256
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"[-\xad\xac][ \t]*\r?\n[ \t]*")
 _UNSPACED = re.compile(r"[฀-๿㐀-鿿]")
