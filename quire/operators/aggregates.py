@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.stats import g2, log_ratio
 from quire.functions.text import az_words, ocr_garbage
+from quire.session import cut_lineage
 
 
 def counts_by_document(m: DataFrame, group: str) -> DataFrame:
@@ -62,7 +63,7 @@ def _score(j: DataFrame, least: int) -> DataFrame:
 
 def keyness_against(texts: DataFrame, label: str, text: str, stop: list[str], reference: str = "neutral", least: int = 2) -> DataFrame:
     """Every label's words against those of the reference label (none: all scores are 0)."""
-    c = word_counts(texts, F.col(label), text, stop)
+    c = cut_lineage(word_counts(texts, F.col(label), text, stop))  # read three times
     totals = c.groupBy("side").agg(F.sum("n").alias("t"))
     ref = c.filter(F.col("side") == reference).select("word", F.col("n").alias("freq_ref"))
     n_ref = totals.filter(F.col("side") == reference).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n_ref"))
@@ -73,7 +74,7 @@ def keyness_against(texts: DataFrame, label: str, text: str, stop: list[str], re
 
 def keyness_rest(texts: DataFrame, label: str, text: str, stop: list[str], least: int = 2) -> DataFrame:
     """Every label's words against all others' together: the rest is the total less the label."""
-    c = word_counts(texts, F.col(label), text, stop)
+    c = cut_lineage(word_counts(texts, F.col(label), text, stop))  # read three times
     by_word = c.groupBy("word").agg(F.sum("n").alias("w"))
     by_side = c.groupBy("side").agg(F.sum("n").alias("n_focus"))
     total = c.agg(F.sum("n").alias("t"))
@@ -133,7 +134,7 @@ def profiles(labelled: DataFrame, essential: DataFrame, edges: DataFrame, n_sent
         F.avg(F.when(F.col("r_label") == "negative", 1).when(F.col("r_label") == "positive", -1).otherwise(0)).alias("eps"),
         share(F.col("r_label") == "uncertain").alias("uncertain_r"), share(F.col("o_label") == "unknown").alias("unknown_o"), share(F.col("is_noise")).alias("noise_share"))
     j = base.join(essential_density(essential, labelled), "ethnos_norm", "left").join(agency(edges), base.ethnos_norm == F.col("entity"), "left").drop("entity")
-    j = j.crossJoin(F.broadcast(n_sentences))  # one row
+    j = cut_lineage(j.crossJoin(F.broadcast(n_sentences)))  # one row; the profiles are one row per entity
     j = j.withColumns({"mentions_norm": F.col("mentions") * 10000.0 / F.greatest("n_sentences", F.lit(1)), "agency": F.coalesce("agency", F.lit(0.0)), "ed": F.coalesce("ed", F.lit(0.0))}).drop("n_sentences")
     # the entities are as many as the lexicon has; their weighted means are one row
     means = j.agg(*[(F.sum(F.col(c) * F.col("mentions")) / F.sum("mentions")).alias(f"_{c}") for c in ("oi", "eps", "ed", "agency")])
@@ -232,3 +233,30 @@ def token_costs(log: DataFrame, input_price: float = 0.27, output_price: float =
     """Totals and cost of a call log, prices per million tokens."""
     i, o = F.coalesce(F.sum("input_tokens"), F.lit(0)), F.coalesce(F.sum("output_tokens"), F.lit(0))
     return log.agg(i.alias("input_tokens"), o.alias("output_tokens"), ((i * input_price + o * output_price) / 1e6).alias("cost"))
+
+
+def summary(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """(metric, value) rows of several aggregates in one pass."""
+    one = df.agg(*[v.cast("double").alias(k) for k, v in metrics.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in metrics])).alias("x")).select("x.*")
+
+
+def top_values(df: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The commonest values of several columns: (dimension, value, n, rank), ties by value."""
+    d = distribution(df, list(limits)).filter("value is not null")
+    r = d.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value")))
+    most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
+    return r.filter(F.col("rank") <= most[F.col("dimension")])
+
+
+def embedding_clusters(df: DataFrame, vector: str, k: int = 8, seed: int = 42) -> DataFrame:
+    """Adds ``cluster`` and a two-dimensional projection (x, y) of a vector column."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).persist()
+    c = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v)
+    p = PCA(k=2, inputCol="features", outputCol="_p").fit(v).transform(c)
+    xy = vector_to_array("_p")
+    return p.withColumns({"x": xy[0], "y": xy[1]}).drop("features", "_p")

@@ -91,7 +91,12 @@ def parsed_interactions(tokens: DataFrame, verbs: dict[str, list[str]], entity:
     t = tokens.withColumn("v", F.explode("tokens")).withColumn("type", F.coalesce(group[F.lower("v.lemma")], group[F.lower("v.text")])).filter("type is not null")
     t = t.withColumns({"_s": F.try_element_at(F.filter("tokens", lambda c: (c["head_i"] == F.col("v.i")) & (c["i"] != F.col("v.i")) & c["dep"].isin(["nsubj", "nsubjpass"])), F.lit(-1))["text"],
                        "_o": F.try_element_at(F.filter("tokens", lambda c: (c["head_i"] == F.col("v.i")) & (c["i"] != F.col("v.i")) & c["dep"].isin(["dobj", "pobj", "obj", "iobj"])), F.lit(-1))["text"]})
-    match = lambda c: F.try_element_at(F.filter("entities", lambda e: F.lower(F.col(c)).isin(F.lower(e)) | (F.lower(F.col(c)) == F.concat(F.lower(e), F.lit("s")))), F.lit(1))
+    def alike(c: str):
+        # a token names an entity if one is the other, bar a plural s, or begins with the other
+        w = F.lower(F.col(c))
+        return lambda e: (w == F.lower(e)) | (w == F.concat(F.lower(e), F.lit("s"))) | (F.rtrim(w, F.lit("s")) == F.lower(e)) | F.startswith(w, F.lower(e)) | F.startswith(F.lower(e), w)
+
+    match = lambda c: F.try_element_at(F.filter("entities", alike(c)), F.lit(1))
     t = t.withColumns({"src": match("_s"), "dst": match("_o")})
     other = lambda c: F.try_element_at(F.filter("entities", lambda e: e != F.col(c)), F.lit(1))
     both = F.col("src").isNotNull() & F.col("dst").isNotNull()
@@ -221,3 +226,21 @@ def edge_stability(hits: DataFrame, resamples: int = 50, top: int = 20, least: i
     best = F.when((F.col("high") >= F.col("medium")) & (F.col("high") >= F.col("low")), "high").when(F.col("medium") >= F.col("low"), "medium").otherwise("low")
     ok = (F.col("high") + F.col("medium") + F.col("low") >= least) & best.isin(*confidences)
     return strongest.join(s.groupBy("src", "dst", "type").agg((F.count_if(ok) / resamples).alias("stability")), ["src", "dst", "type"], "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+
+
+def mirrored(pairs: DataFrame, *values: str) -> DataFrame:
+    """Both directions of undirected edges, for reports."""
+    return pairs.select("a", "b", *values).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *values))
+
+
+def role_class(phrase: Column, entities: list[str], agents: list[str]) -> Column:
+    """ETHNOS, IMPERIAL_AGENT or OTHER, by the names that a subject or object phrase holds."""
+    low = F.lower(F.coalesce(phrase, F.lit("")))
+    has = lambda names: F.exists(F.array(*[F.lit(n.lower()) for n in names]), lambda n: F.contains(low, n)) if names else F.lit(False)
+    return F.when(has(entities), "ETHNOS").when(has(agents), "IMPERIAL_AGENT").otherwise("OTHER")
+
+
+def role_counts(roles: DataFrame, subject: str, object_: str) -> DataFrame:
+    """How often each class acts and is acted on, and the share of its roles in which it acts."""
+    each = roles.select(F.col(subject).alias("role"), F.lit(1).alias("s"), F.lit(0).alias("o")).unionByName(roles.select(F.col(object_).alias("role"), F.lit(0).alias("s"), F.lit(1).alias("o")))
+    return each.groupBy("role").agg(F.sum("s").alias("as_subject"), F.sum("o").alias("as_object")).withColumn("subject_share", F.col("as_subject") / (F.col("as_subject") + F.col("as_object")))

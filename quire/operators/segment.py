@@ -42,3 +42,14 @@ def annotate(sentences: DataFrame, annotator: Callable[[list[str]], list[list[di
 def whitespace_annotator(texts: list[str]) -> list[list[dict]]:
     """The fallback without a parser: blank-separated tokens with placeholder tags."""
     return [[{"text": w, "lemma": w.lower(), "pos": "X", "dep": "dep", "head": w, "head_i": 0, "i": i} for i, w in enumerate(t.split())] for t in texts]
+
+
+#: Word classes of the keyness modes; the last one keeps all but names.
+POS_MODES = {"content_words": ["NOUN", "ADJ", "VERB"], "adjectives_only": ["ADJ"], "verbs_only": ["VERB"], "no_proper_nouns": None}
+
+
+def pos_lemmas(tokens: Column, mode: str, stop: list[str], least: int = 2) -> Column:
+    """Lemmas of annotated tokens of the mode's word classes: letters only, no stop words, no names."""
+    wanted = POS_MODES[mode]
+    kept = F.filter(tokens, lambda t: t["text"].rlike(r"^\p{L}+$") & (t["pos"] != "PROPN") & (t["pos"].isin(wanted) if wanted else F.lit(True)) & ~F.lower(t["lemma"]).isin(stop) & (F.length(t["lemma"]) >= least))
+    return F.transform(kept, lambda t: F.lower(t["lemma"]))

@@ -18,7 +18,7 @@ from quire.operators import mentions as M
 from quire.operators import noise as N
 from quire.operators import segment as S
 from quire.plans import oracle as O
-from quire.session import table
+from quire.session import cut_lineage, table
 from quire.sources import bibliography as BIB
 from quire.sources import corpus as C
 
@@ -83,7 +83,10 @@ class Tables:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return A.profiles(self.labelled, self.essential, self.flat_edges, self.s.agg(F.count(F.lit(1)).alias("n_sentences")))
+        # five aggregates read the labels: they are written out once, without the texts
+        few = cut_lineage(self.labelled.select("doc_id", "sent_idx", "ethnos_norm", "r_label", "o_label", "is_noise", "is_essentializing"))
+        essential = few.filter("is_essentializing").groupBy("ethnos_norm").agg(F.count_distinct("doc_id", "sent_idx").alias("n"))
+        return A.profiles(few, essential, self.flat_edges, self.s.agg(F.count(F.lit(1)).alias("n_sentences")))
 
 
 def query(sql: str | None = None) -> Callable:
@@ -670,6 +673,65 @@ def pipeline_passport(t: Tables) -> DataFrame:
     return run(t.t("corpus_documents"), t.t("lexicon_entities"), patterns=B.ESSENTIAL_PAST)["passport"]
 
 
+@query(O.ENRICH)
+def biblio_enrich(t: Tables) -> DataFrame:
+    """Records overridden by their latest harvest."""
+    b = t.t("bibliography").select("identifier", "title", "creator", "year", "publisher", "txt_url", "harvested_at")
+    fields = ("title", "creator", "year", "publisher", "txt_url")
+    late = b.groupBy("identifier").agg(*[F.max(f).alias(f) for f in fields])
+    return BIB.enrich(b, late).select("identifier", "harvested_at", "title", "year", "publisher", "txt_url", "volume_sig").distinct()
+
+
+@query(O.MIRROR)
+def comention_mirrored(t: Tables) -> DataFrame:
+    return G.mirrored(G.pairs_of(t.sets(2)), "n")
+
+
+@query(O.ESSENTIAL_BY_O)
+def essential_by_situation(t: Tables) -> DataFrame:
+    return t.labelled.groupBy("o_label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_essentializing").alias("essential"), F.avg(F.arrays_overlap(T.az_words(F.col("context_text")), F.array(*map(F.lit, L.VERBS["fight"]))).cast("int")).alias("fight_share"))
+
+
+@query(O.SUMMARY_STATS)
+def summary_stats(t: Tables) -> DataFrame:
+    return A.summary(t.labelled, {"mentions": F.count(F.lit(1)), "entities": F.count_distinct("ethnos_norm"), "documents": F.count_distinct("doc_id"), "noise": F.count_if("is_noise"), "essential": F.count_if("is_essentializing")})
+
+
+@query(O.DIGEST)
+def section_digest(t: Tables) -> DataFrame:
+    return A.top_values(t.clean, {"ethnos_norm": 5, "r_label": 3, "o_label": 3})
+
+
+@query(O.R_BY_ENTITY)
+def r_by_entity(t: Tables) -> DataFrame:
+    c = lambda *k: F.count_if(F.col("r_label").isin(*k))
+    ids = F.slice(F.sort_array(F.collect_set(F.when(F.col("r_label") == "negative", F.col("mention_id")))), 1, 3)
+    return t.clean.filter(F.col("ethnos_norm").isin(sorted(t.groups)[:5])).groupBy("ethnos_norm").agg(F.count(F.lit(1)).alias("n"), c("negative").alias("negative"), c("exotic").alias("exotic"), F.size(ids).alias("examples"))
+
+
+@query(O.NOISE_ENTITY)
+def noise_entity_rows(t: Tables) -> DataFrame:
+    return t.raw.filter("is_noise and ethnos_norm is not null").select("mention_id", "doc_id", "sent_idx", "ethnos_norm", "noise_reason")
+
+
+@query(O.FRAGMENTS)
+def piro_fragments(t: Tables) -> DataFrame:
+    """The sheet of labelled fragments, with empty columns for manual work."""
+    manual = [F.lit("").alias(c) for c in ("manual_r", "manual_o", "manual_note", "manual_check")]
+    return t.clean.select("mention_id", "file_name", "sent_idx", "ethnos_norm", "r_label", "r_confidence", "o_label", "o_confidence", "noise_reason", "pointer", *manual)
+
+
+@query()
+def embedding_clusters(t: Tables) -> DataFrame:
+    return A.embedding_clusters(t.t("embeddings"), "embedding").select("vec_id", "label", "cluster", "x", "y")
+
+
+@query()
+def bootstrap_eps(t: Tables) -> DataFrame:
+    x = t.clean.withColumn("hit", F.when(F.col("r_label") == "negative", 1).when(F.col("r_label") == "positive", -1).otherwise(0))
+    return A.bootstrap_mean(x, "ethnos_norm", "hit", "mention_id", resamples=500)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, d, f=f: f(Tables(spark, d))) for name, (f, _) in _ALL.items()}
 

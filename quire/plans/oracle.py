@@ -322,3 +322,15 @@ o AS (SELECT identifier, min(filename) file_name FROM b JOIN f ON coalesce(txt_f
 SELECT * FROM n UNION ALL SELECT * FROM o"""
 _san = lambda x: rf"left(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '[^\p{{L}}\p{{N}} _-]', '', 'g'), '[\s-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80)"
 FILE_NAMES_OUT = f"""SELECT DISTINCT identifier, left(concat_ws('_', nullif({_san(_sur)}, ''), "year"::VARCHAR, nullif({_san('title')}, ''), nullif(coalesce(volume_sig, ''), '')), 196) || '.txt' file_name FROM bibliography"""
+_sig_title = "CASE " + " ".join(f"WHEN regexp_extract(lower(title), '{p}', 1) <> '' THEN '{k}' || " + _num(f"regexp_extract(lower(title), '{p}', 1)") for k, p in VOLUME) + " ELSE '' END"
+ENRICH = f"""WITH l AS (SELECT identifier, max(title) title, max("year") "year", max(publisher) publisher, max(txt_url) txt_url FROM bibliography GROUP BY 1),
+j AS (SELECT DISTINCT b.identifier, harvested_at, coalesce(l.title, b.title) title, coalesce(l."year", b."year") "year", coalesce(l.publisher, b.publisher) publisher, coalesce(l.txt_url, b.txt_url) txt_url FROM bibliography b LEFT JOIN l ON l.identifier = b.identifier)
+SELECT *, {_sig_title} volume_sig FROM j WHERE coalesce(txt_url, '') <> ''"""
+MIRROR = f"WITH {_sets(2)} SELECT a, b, n FROM pr UNION ALL SELECT b, a, n FROM pr"
+ESSENTIAL_BY_O = f"WITH {_LAB} SELECT o_label, count(*) n, count(*) FILTER (is_essentializing) essential, avg(list_has_any({_az('context_text')}, {_list(L.VERBS['fight'])})::INT) fight_share FROM lab GROUP BY 1"
+SUMMARY_STATS = f"""WITH {_LAB} SELECT 'mentions' metric, count(*)::DOUBLE "value" FROM lab UNION ALL SELECT 'entities', count(DISTINCT ethnos_norm) FROM lab UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM lab
+UNION ALL SELECT 'noise', count(*) FILTER (is_noise) FROM lab UNION ALL SELECT 'essential', count(*) FILTER (is_essentializing) FROM lab"""
+DIGEST = f"WITH {_LAB}, dd AS (" + " UNION ALL ".join(f"SELECT '{c}' dimension, {k} most, {c} \"value\", count(*) n FROM cl WHERE {c} IS NOT NULL GROUP BY {c}" for c, k in (("ethnos_norm", 5), ("r_label", 3), ("o_label", 3))) + '), rr AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, "value")::INT "rank" FROM dd) SELECT dimension, "value", n, "rank" FROM rr WHERE "rank" <= most'
+R_BY_ENTITY = f"WITH {_LAB} SELECT ethnos_norm, count(*) n, count(*) FILTER (r_label = 'negative') negative, count(*) FILTER (r_label = 'exotic') exotic, least(3, count(DISTINCT mention_id) FILTER (r_label = 'negative'))::INT examples FROM cl WHERE ethnos_norm IN (SELECT DISTINCT canonical FROM lexicon_entities ORDER BY 1 LIMIT 5) GROUP BY 1"
+NOISE_ENTITY = f"WITH {_RAW} SELECT mention_id, doc_id, sent_idx, ethnos_norm, noise_reason FROM raw WHERE is_noise AND ethnos_norm IS NOT NULL"
+FRAGMENTS = f"WITH {_LAB} SELECT mention_id, file_name, sent_idx, ethnos_norm, r_label, r_confidence, o_label, o_confidence, noise_reason, coalesce(file_name, '') || '#' || sent_idx pointer, '' manual_r, '' manual_o, '' manual_note, '' manual_check FROM cl"

@@ -227,3 +227,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("labelled").count() == 1
+
+
+def test_pos_lemmas_and_roles(spark):
+    t = _tok(("Proud", "proud", "ADJ", "amod", 1), ("Torvaks", "torvak", "PROPN", "nsubj", 2), ("raided", "raid", "VERB", "ROOT", 2), ("2nd", "2nd", "NOUN", "dobj", 2), ("camps", "camp", "NOUN", "dobj", 2))
+    df = spark.createDataFrame([(t,)], f"tokens {TOKENS}")
+    got = df.select(S.pos_lemmas(F.col("tokens"), "content_words", []).alias("a"), S.pos_lemmas(F.col("tokens"), "verbs_only", []).alias("b"), S.pos_lemmas(F.col("tokens"), "no_proper_nouns", ["camp"]).alias("c")).first()
+    assert (got["a"], got["b"], got["c"]) == (["proud", "raid", "camp"], ["raid"], ["proud", "raid"])
+    r = spark.createDataFrame([("the torvaks", "soldiers"), ("soldiers", "a hut"), (None, "torvak camp")], "s string, o string")
+    r = r.select(G.role_class(F.col("s"), ["torvak"], ["soldiers"]).alias("s"), G.role_class(F.col("o"), ["torvak"], ["soldiers"]).alias("o"))
+    assert {x["role"]: (x["as_subject"], x["as_object"]) for x in G.role_counts(r, "s", "o").collect()} == {"ETHNOS": (1, 1), "IMPERIAL_AGENT": (1, 1), "OTHER": (1, 1)}
+
+
+def test_token_costs(spark):
+    log = spark.createDataFrame([(1_000_000, 0), (0, 1_000_000), (None, None)], "input_tokens long, output_tokens long")
+    assert math.isclose(A.token_costs(log).first()["cost"], 1.37) and A.token_costs(log.limit(0)).first()["cost"] == 0
+
+
+def test_catalogue_columns(spark):
+    spark.range(1).createOrReplaceTempView("some_view")
+    assert ("some_view", "id") in {(r["table_name"], r["column_name"]) for r in C.columns_of(spark).collect()}
