@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.sketch import pieces, total
 from quire.session import cut_lineage
 
 _P = np.uint64(0x100000001B3)
@@ -109,68 +110,53 @@ def _figureless(text: str) -> list[str]:
 
 
 def repeated_lines(sentences: DataFrame, documents: DataFrame, doc_id: str, index: str, text: str, source: str, documents_id: str, documents_text: str, documents_source: str,
-                   least: int = 5, share: float = 0.04, least_words: int = 4, covered: float = 0.25, most_shared: int = 2_000_000) -> DataFrame:
+                   least: int = 5, share: float = 0.04, least_words: int = 4, covered: float = 0.25, bits: int = 21) -> DataFrame:
     """(source, doc_id, sentence_index, line): rows that are a line repeated excessively within their source.
 
     A line counts if it stands in at least ``least`` documents of its source and in at least
-    ``share`` of them.  The table of repeated chunks holds at most (chunks per document) / share
-    rows a source; up to ``most_shared`` rows are given to every task, beyond that it is joined.
+    ``share`` of them.  Documents are counted per source and chunk in 2^bits cells, a fixed size:
+    a cell shared by two chunks only lets more rows through to the exact count of lines.
     Null texts and indices are no rows, a null source is a source, repeated rows come out once,
     texts are read whole, an empty table gives no rows.
     """
     rows = sentences.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(doc_id).alias("doc_id"), F.col(index).alias("sentence_index"), F.col(text).alias("text"))
     rows = rows.filter(f"text is not null and sentence_index is not null and size(split(trim(text), '\\\\s+')) >= {least_words}")
-    rows = rows.withColumns({"src": F.xxhash64("source"), "h": F.xxhash64(letters_only(F.col("text")))})
+    rows = rows.withColumn("src", F.xxhash64("source"))
     totals = documents.select(F.xxhash64(F.coalesce(F.col(documents_source), F.lit(""))).alias("src")).groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"))
-    enough = F.greatest(F.lit(least), F.ceil(F.col("n_docs") * share))
+    totals = cut_lineage(totals.withColumn("enough", F.greatest(F.lit(least), F.ceil(F.col("n_docs") * share)).cast("bigint")).drop("n_docs"))
+    few = totals.limit(500_001).count() <= 500_000  # sources; broadcast only while they are known to be few
+    known = F.broadcast(totals) if few else totals
     kind = dict(rows.dtypes)["doc_id"]
+    mask = np.uint64((1 << bits) - 1)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, h, n = chunks(b["text"].tolist())
+        return r, ((_mix(b["src"].to_numpy()[r], h) >> np.uint64(17)) & mask).astype(np.int64), n
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketch = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            r, h, _ = chunks(b["text"].tolist())
-            out = pd.DataFrame({"src": b["src"].to_numpy()[r], "chunk": h, "doc_id": b["doc_id"].to_numpy()[r]})
-            yield out
-
-    each = rows.select("src", "doc_id", "text").mapInPandas(cut, f"src bigint, chunk bigint, doc_id {kind}")
-    often = each.groupBy("src", "chunk", "doc_id").agg(F.lit(1).alias("_1")).groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("docs"))
-    # half of the documents that a line needs: damaged copies lose some chunks
-    often = cut_lineage(often.join(totals, "src").filter(F.col("docs") * 2 >= enough).select("src", "chunk"))
-
-    if often.count() <= most_shared:
-        pdf = often.toPandas()
-        keys = np.sort(_mix(pdf["src"].to_numpy(np.int64), pdf["chunk"].to_numpy(np.int64)))
-        shared = sentences.sparkSession.sparkContext.broadcast(keys)
-
-        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            k = shared.value
-            for b in batches:
-                r, h, n = chunks(b["text"].tolist())
-                key = _mix(b["src"].to_numpy()[r], h)
-                at = np.searchsorted(k, key)
-                hit = (at < len(k)) & (k[np.minimum(at, max(len(k) - 1, 0))] == key) if len(k) else np.zeros(len(key), bool)
-                total = np.bincount(r, n, len(b))
-                good = np.bincount(r, n * hit, len(b)) >= covered * np.maximum(total, 1)
-                got = b[good & (total > 0)]
-                w = [_figureless(t) for t in got["text"]]
-                ok = [len(words(t)) >= least_words for t in got["text"]]
-                got = got.assign(words=w)[ok]
-                yield got[["source", "src", "doc_id", "sentence_index", "h", "words"]]
-
-        near = rows.mapInPandas(pick, f"source string, src bigint, doc_id {kind}, sentence_index int, h bigint, words array<string>")
-    else:
-
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                r, h, n = chunks(b["text"].tolist())
-                ok = np.array([len(words(t)) >= least_words for t in b["text"]], bool)
-                w = pd.Series([_figureless(t) for t in b["text"]], dtype=object)
-                out = b.reset_index(drop=True).iloc[r][["source", "src", "doc_id", "sentence_index", "h"]].assign(words=w.iloc[r].to_numpy(), chunk=h, n=n)
-                yield out[ok[r]] if len(r) else out
-
-        all_ = rows.mapInPandas(spread, f"source string, src bigint, doc_id {kind}, sentence_index int, h bigint, words array<string>, chunk bigint, n int")
-        hit = all_.join(often.withColumn("hit", F.lit(1)), ["src", "chunk"], "left")
-        near = hit.groupBy("source", "src", "doc_id", "sentence_index", "h", "words").agg(F.sum(F.col("n") * F.coalesce("hit", F.lit(0))).alias("_hit"), F.sum("n").alias("_all")).filter(F.col("_hit") >= covered * F.col("_all")).drop("_hit", "_all")
+            r, cell, _ = cells(b)
+            doc = pd.factorize(b["doc_id"])[0][r].astype(np.int64)
+            one = np.unique(doc << bits | cell)  # a document counts once
+            sketch += np.bincount(one & np.int64(mask), minlength=1 << bits).astype(np.uint32)
+        yield pd.DataFrame(pieces(sketch), columns=["chunk", "blob"])
+
+    shared = sentences.sparkSession.sparkContext.broadcast(total(rows.select("src", "doc_id", "text").mapInPandas(count, "chunk int, blob binary"), bits))
 
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs = shared.value
+        for b in batches:
+            r, cell, n = cells(b)
+            # half of the documents that a line needs: damaged copies lose some chunks
+            hit = docs[cell] * 2 >= b["enough"].to_numpy()[r]
+            all_ = np.bincount(r, n, len(b))
+            got = b[(all_ > 0) & (np.bincount(r, n * hit, len(b)) >= covered * all_)]
+            got = got[[len(words(t)) >= least_words for t in got["text"]]] if len(got) else got
+            yield pd.DataFrame({**{c: got[c] for c in ("source", "src", "doc_id", "sentence_index", "text")}, "words": [_figureless(t) for t in got["text"]]})
+
+    near = rows.join(known, "src").mapInPandas(pick, f"source string, src bigint, doc_id {kind}, sentence_index int, text string, words array<string>")
+    near = near.withColumn("h", F.xxhash64(letters_only(F.col("text")))).drop("text")
     # a sentence of the prose cut off by a wrong split is no line: the row must fill one of its document
     whole = documents.filter(F.col(documents_text).isNotNull()).select(F.col(documents_id).alias("doc_id"), F.explode(F.array_distinct(F.transform(F.split(documents_text, "\n"), lambda x: F.xxhash64(letters_only(x))))).alias("h"))
     near = cut_lineage(near.join(whole, ["doc_id", "h"], "left_semi"))
@@ -180,7 +166,7 @@ def repeated_lines(sentences: DataFrame, documents: DataFrame, doc_id: str, inde
     lines = texts.filter("size(words) >= 3").select("src", "doc_id", F.explode(open_).alias("line"))
     lines = lines.groupBy("src", "line", "doc_id").agg(F.lit(1).alias("_1")).groupBy("src", "line").agg(F.count(F.lit(1)).alias("docs"))
     # the line needs half its documents as clean copies; at most (rows per document) * 2 / share lines a source
-    lines = lines.join(totals, "src").filter(F.col("docs") * 2 >= enough).groupBy("src").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lines = lines.join(known, "src").filter("docs * 2 >= enough").groupBy("src").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
@@ -196,6 +182,6 @@ def repeated_lines(sentences: DataFrame, documents: DataFrame, doc_id: str, inde
             yield pd.DataFrame(out, columns=["src", "doc_id", "words", "line"])
 
     matched = cut_lineage(texts.select("src", "doc_id", "words").join(lines, "src").mapInPandas(match, f"src bigint, doc_id {kind}, words array<string>, line string"))
-    full = matched.groupBy("src", "line").agg(F.count_distinct("doc_id").alias("docs")).join(totals, "src").filter(F.col("docs") >= enough).select("src", "line", "docs")
+    full = matched.groupBy("src", "line").agg(F.count_distinct("doc_id").alias("docs")).join(known, "src").filter("docs >= enough").select("src", "line", "docs")
     said = matched.join(full, ["src", "line"]).groupBy("src", "doc_id", "words").agg(F.max_by("line", F.struct("docs", "line")).alias("line"))
     return near.join(said, ["src", "doc_id", "words"]).select("source", "doc_id", "sentence_index", "line").distinct()

@@ -13,7 +13,6 @@ order by rarity finds the candidates instead.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.sketch import pieces, total
 from quire.session import cut_lineage
 
-SKETCH_BITS, CHUNK_BITS = 20, 15
+SKETCH_BITS = 20
 GROUPS = 256
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"[-\xad\xac][ \t]*\r?\n[ \t]*")
@@ -121,31 +121,12 @@ def _survey(docs: DataFrame, kind: str, run: int, char_run: int) -> DataFrame:
                 sketch[np.unique(t & np.uint32(size - 1))] += 1
                 rows.append(("c", 0, xxhash.xxh3_128_digest(" ".join(text.split())), i, t.tobytes()))
             yield pd.DataFrame(rows, columns=["kind", "chunk", "blob", "id", "tok"])
-        out = [("t", c, zlib.compress(sketch[c << CHUNK_BITS : (c + 1) << CHUNK_BITS].tobytes(), 1), None, None) for c in range(size >> CHUNK_BITS)] if sketch.any() else []
+        out = [("t", c, blob, None, None) for c, blob in pieces(sketch)]
         yield pd.DataFrame(out, columns=["kind", "chunk", "blob", "id", "tok"]).astype({"id": "Int64"} if kind in ("bigint", "int") else {})
 
     return docs.mapInPandas(look, f"kind string, chunk int, blob binary, id {kind}, tok binary")
 
 
-def _merged(survey: DataFrame) -> np.ndarray:
-    """The sum of all partial sketches: an array of fixed size."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, blob in zip(b["chunk"], b["blob"]):
-                v = np.frombuffer(zlib.decompress(blob), np.uint32)
-                total[c] = total[c] + v if c in total else v.copy()
-        yield pd.DataFrame([(c, v.tobytes()) for c, v in total.items()], columns=["chunk", "blob"])
-
-    size = 1 << SKETCH_BITS
-    out = np.zeros(size, np.uint32)
-    parts = survey.filter("kind = 't'").select("chunk", "blob").repartition(min(size >> CHUNK_BITS, 8), "chunk").mapInPandas(add, "chunk int, blob binary")
-    for r in parts.collect():  # size >> CHUNK_BITS rows
-        out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] += np.frombuffer(r["blob"], np.uint32)
-    return out
-
-
 def _some(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
     """Semi or anti join by id that spares the texts a shuffle where the ids are few (their number is checked)."""
     few = ids.limit(most + 1).count() <= most
@@ -170,7 +151,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
     doubled = classes.filter("n > 1").select("blob", "class_id")
     members = cut_lineage(copies.join(doubled, "blob").select("id", "class_id").distinct())
     rest = members.filter("id <> class_id").select("id").distinct()
-    order = docs.sparkSession.sparkContext.broadcast(_merged(survey))
+    order = docs.sparkSession.sparkContext.broadcast(total(survey.filter("kind = 't'"), SKETCH_BITS))
     t = similarity
     held = survey.filter("kind = 'c'").select("id", "tok")
 
