@@ -133,10 +133,22 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "containers"), "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
 
 
+def p8_unused(spark: SparkSession, d: str) -> DataFrame:
+    per = p8_pack(spark, d).groupBy("container_kind", "capacity", "container_id").agg(F.sum("size").alias("fill"))
+    return per.groupBy("container_kind", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("fill").alias("tokens"), (1 - F.sum("fill") / F.sum("capacity")).alias("unused_share"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every held-out item with the number of documents that hold it."""
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    found = p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return items.join(found, "item_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return segments(docs, fit_languages(docs, "doc_id", "text", stated_language(F.col("lang"))), "doc_id", "text")
