@@ -36,22 +36,23 @@ def common_words(rows: DataFrame, text: str, share: float = 0.003) -> list[str]:
     return sorted(r["w"] for r in w.filter(F.col("n") >= max(2.0, share * n)).collect())
 
 
-def row_statistics(text: Column, common: list[str]) -> dict[str, Column]:
+def row_statistics(text: Column, words: Column, common: list[str]) -> dict[str, Column]:
+    """Statistics of a row and its ``words`` (letters, marks, digits, inner apostrophes and hyphens)."""
     length = F.length(text)
-    bare = F.translate(text, "0123456789", "")
-    words = F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}'’-]+"), lambda w: w != "")
-    native = F.length(F.regexp_replace(text, _UNSPACED, "")) * 2 < length
+    native = text.rlike(_UNSPACED) & (F.length(F.regexp_replace(text, _UNSPACED + "+", "")) * 2 < length)
+    terminal = text.rlike(_TERMINAL) & text.rlike(r"\S\s+\S+\s+\S+\s+\S")
     return {
         "chars": length,
-        "digits": length - F.length(bare),
-        "symbols": F.length(F.regexp_replace(text, _PLAIN, "")),
+        "digits": length - F.length(F.translate(text, "0123456789", "")),
+        "symbols": F.length(F.regexp_replace(text, _PLAIN + "+", "")),
         "native": native,
-        "terminal": native | (text.rlike(_TERMINAL) & (F.size(words) >= 4)) | (text.rlike(_INSIDE) & (F.size(words) >= 10)),
+        "terminal": native | terminal | (text.rlike(_INSIDE) & (F.size(words) >= 10)),
         "enumerated": text.rlike(_ENUMERATED),
-        "words": words,
         "n_words": F.size(words),
         "n_common": F.size(F.filter(words, lambda w: F.lower(w).isin(common))) if common else F.lit(0),
         "n_lower": F.size(F.filter(words, lambda w: w.rlike(r"^[\p{Ll}\p{Lo}][\p{Ll}\p{Lo}\p{M}'’-]+$"))),
+        "n_distinct": F.size(F.array_distinct(F.transform(words, F.lower))),
+        "letters": F.length(F.array_join(words, "")),
     }
 
 
@@ -69,12 +70,12 @@ def document_statistics(rows: DataFrame, doc_id: str, index: str, text: str, rep
     n_docs = base.agg(F.count_distinct("doc_id")).first()[0]
     house = by_line.filter(F.col("docs") >= max(float(least), repeated * n_docs)).select("h", F.lit(0).alias("own"))  # at most (rows per document) / repeated
     own = base.join(F.broadcast(house) if house.limit(500_001).count() <= 500_000 else house, "h", "left").withColumn("own", F.coalesce("own", F.lit(1)))
-    s = row_statistics(F.col("text"), common)
+    own = own.withColumn("words", F.filter(F.split("text", r"[^\p{L}\p{M}\p{N}'’-]+"), lambda w: w != ""))  # split once for all that follows
+    s = row_statistics(F.col("text"), F.col("words"), common)
     r = own.select("doc_id", "i", "own", *[v.alias(k) for k, v in s.items()])
     natural = ~F.col("enumerated") & (F.col("native") & (F.col("chars") >= 6) | F.col("terminal") & (F.col("n_words") >= 5) & (F.col("n_lower") >= 3))
-    r = r.withColumns({"natural": F.when(natural, F.col("chars")).otherwise(0), "terminal": F.when(F.col("terminal"), F.col("chars")).otherwise(0), "enumerated": F.when(F.col("enumerated"), F.col("chars")).otherwise(0),
-                       "n_distinct": F.size(F.array_distinct(F.transform("words", F.lower))), "letters": F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)),
-                       "n_native": F.when(F.col("native"), F.col("n_words")).otherwise(0)}).drop("words", "native")
+    r = r.withColumns({"natural": F.when(natural, F.col("chars")).otherwise(0), "n_native": F.when(F.col("native"), F.col("n_words")).otherwise(0),
+                       **{c: F.when(F.col(c), F.col("chars")).otherwise(0) for c in ("terminal", "enumerated")}}).drop("native")
     r = r.groupBy("doc_id", "i").agg(*[F.max(c).alias(c) for c in r.columns if c not in ("doc_id", "i")])
     total = {c: F.sum(F.col(c) * F.col("own")) for c in ("chars", "digits", "symbols", "terminal", "natural", "enumerated", "n_words", "n_common", "n_lower", "n_distinct", "letters", "n_native")}
     chars, words = F.greatest(total["chars"], F.lit(1)), F.greatest(total["n_words"], F.lit(1))
