@@ -133,20 +133,27 @@ def repeated_lines(sentences: DataFrame, documents: DataFrame, doc_id: str, inde
         r, h, n = chunks(b["text"].tolist())
         return r, ((_mix(b["src"].to_numpy()[r], h) >> np.uint64(17)) & mask).astype(np.int64), n
 
+    def slices(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+        """Runs of rows with about ``most`` characters: the arrays over characters stay small."""
+        for b in batches:
+            part = np.cumsum(b["text"].str.len().to_numpy()) // most
+            for _, x in b.groupby(part, sort=False):
+                yield x
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << bits, np.uint32)
-        for b in batches:
+        for b in slices(batches):
             r, cell, _ = cells(b)
             doc = pd.factorize(b["doc_id"])[0][r].astype(np.int64)
-            one = np.unique(doc << bits | cell)  # a document counts once
-            sketch += np.bincount(one & np.int64(mask), minlength=1 << bits).astype(np.uint32)
+            one = np.unique(doc << bits | cell) & np.int64(mask)  # a document counts once
+            np.add.at(sketch, one, np.uint32(1))
         yield pd.DataFrame(pieces(sketch), columns=["chunk", "blob"])
 
     shared = sentences.sparkSession.sparkContext.broadcast(total(rows.select("src", "doc_id", "text").mapInPandas(count, "chunk int, blob binary"), bits))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs = shared.value
-        for b in batches:
+        for b in slices(batches):
             r, cell, n = cells(b)
             # half of the documents that a line needs: damaged copies lose some chunks
             hit = docs[cell] * 2 >= b["enough"].to_numpy()[r]
