@@ -8,6 +8,7 @@ a trained model is one table of class scores by bucket, and a paragraph costs on
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("de", "en", "es", "fr", "hi", "pt", "ru", "th", "zh")
 BUCKETS = 1 << 17
+# Lines with fewer letters say little beside whole paragraphs, unless their prediction is this confident.
+SCRAP, SURE = 24, 0.9
 
 # ISO 639 codes and English or own names of the languages.
 CODES = {
@@ -177,11 +180,39 @@ def fit_languages(documents: DataFrame, doc_id: str, text: str, label: Column, s
     return train([repaired(r["t"]) for r in rows], [r["y"] for r in rows])
 
 
+def is_scrap(line: str) -> bool:
+    """Whether a whole line has fewer letters and marks than ``SCRAP``; a Han character counts as three."""
+    n = 0
+    for c in line:
+        if c.isalpha() or c > "\u02ff" and unicodedata.category(c)[0] == "M":
+            n += 3 if ord(c) >= 0x2E80 else 1
+            if n >= SCRAP:
+                return False
+    return True
+
+
+def settled(best: list[str], conf: list[float], lines: list[str], accept: float) -> list[str | None]:
+    """The languages of a document's paragraphs.
+
+    An uncertain paragraph follows its neighbours; so does a scrap beside whole ones, unless its
+    own prediction is ``SURE``.
+    """
+    own: list[str | None] = [v if c >= accept else None for v, c in zip(best, conf)]
+    scraps = [is_scrap(x) for x in lines]
+    if not all(scraps):
+        own = [None if x and c < SURE else v for v, c, x in zip(own, conf, scraps)]
+    for k in range(len(own)):
+        if own[k] is None:
+            near = [v for v in (own[k - 1] if k else None, next((v for v in own[k + 1 :] if v), None)) if v]
+            own[k] = near[0] if near else None
+    return own
+
+
 def segments(documents: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
     """(doc_id, segment, start_char, end_char, lang, confidence): runs of paragraphs of one language.
 
-    Paragraphs are the non-blank lines.  A paragraph too uncertain to name takes the language
-    of its neighbours, and is null where there is none.  Null and empty texts give no row;
+    Paragraphs are the non-blank lines, weighed whole.  One too uncertain to name takes the
+    language of its neighbours, and is null where there is none.  Null and empty texts give no row;
     equal ids give rows each; an empty table gives no rows.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
@@ -204,21 +235,15 @@ def segments(documents: DataFrame, model: Model, doc_id: str, text: str) -> Data
                         if any(c.isalpha() for c in line):
                             pieces.append((k, at, at + len(line), line))
                         at += len(line) + 1
-                p = m.probabilities([repaired(x[3]) for x in pieces])
+                plain = [repaired(x[3]) for x in pieces]
+                p = m.probabilities(plain)
                 best, conf = p.argmax(1), p.max(1) if len(p) else p
                 out, i = [], 0
                 while i < len(pieces):
                     j = i
                     while j < len(pieces) and pieces[j][0] == pieces[i][0]:
                         j += 1
-                    own = [LANGUAGES[best[k]] if conf[k] >= m.accept else None for k in range(i, j)]
-                    weight = [sum(1 if ord(c) < 0x2E80 else 3 for c in x[3][:60] if c.isalpha()) for x in pieces[i:j]]
-                    if max(weight) >= 24:  # a scrap of a line says little beside whole ones
-                        own = [v if g >= 24 else None for v, g in zip(own, weight)]
-                    for k in range(len(own)):  # an uncertain paragraph follows its neighbours
-                        if own[k] is None:
-                            near = [v for v in (own[k - 1] if k else None, next((v for v in own[k + 1 :] if v), None)) if v]
-                            own[k] = near[0] if near else None
+                    own = settled([LANGUAGES[b] for b in best[i:j]], conf[i:j].tolist(), plain[i:j], m.accept)
                     k = i
                     while k < j:
                         e = k

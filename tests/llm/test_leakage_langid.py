@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.langid import document_languages, repaired, segments, stated_language, train
+from quire.llm.langid import document_languages, is_scrap, repaired, segments, settled, stated_language, train
 from quire.llm.leakage import alike, covered, leaked, letters, qgram_hashes
 
 R = random.Random(5)
@@ -92,3 +92,20 @@ def test_labels_and_decoding(spark):
     assert [r[0] for r in df.select(stated_language(F.col("l"))).collect()] == ["en", "en", "en", "de", "zh", None, None, None, None, "fr"]
     for t in ("déjà vu à la forêt", "старая река была", "„Wo ist der Fluß?“"):
         assert repaired(t.encode().decode("latin-1")) == t and repaired(t) == t
+
+
+HI = "डॉ. ने 3.3 कोस दूर बाज़ार को देखा। 122 में से वह भी है और 45 की नदी थी"
+
+
+def test_no_whole_paragraph_is_a_scrap(spark):
+    assert settled(["en", "ru"], [0.99, 0.97], [EN, "мы там"], 0.6) == ["en", "ru"]  # short, but sure
+    assert settled(["en", "ru"], [0.99, 0.7], [EN, "мы там"], 0.6) == ["en", "en"]
+    assert settled(["en", "de"], [0.99, 0.7], [EN, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 " + DE], 0.6) == ["en", "de"]
+    line = "डॉ. ने 3.3 कोस दूर 122 में से 45 की नदी थी वह भी है"
+    assert sum(c.isalpha() for c in line[:60]) < 24 and not is_scrap(line) and is_scrap("Mr. T.")
+    m = train([t for s in (EN, HI) for t in sample(s, 150, s)], ["en"] * 150 + ["hi"] * 150)
+    few = "12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 की " + sample(HI, 1, "h")[0]
+    assert sum(3 for c in few[:60] if c.isalpha()) < 24
+    en = sample(EN, 1, "a")[0]
+    got = segments(spark.createDataFrame([(1, f"{en}\n{few}\n{en}")], "doc_id long, text string"), m, "doc_id", "text").orderBy("start_char").collect()
+    assert [r["lang"] for r in got] == ["en", "hi", "en"]
