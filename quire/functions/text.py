@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -43,16 +44,82 @@ def replace_words(x: Column, pairs: list[tuple[str, str]]) -> Column:
     return x
 
 
+#: A word of plain letters, as the spell fix checks them; other scripts and accented words are left alone.
+PLAIN_WORD = r"(?<![\p{L}\p{M}\p{N}_'])[a-zA-Z]+(?:'[a-zA-Z]+)*(?![\p{L}\p{M}\p{N}_])"
+_PLAIN_WORD = re.compile(r"(?<![\w'])[a-zA-Z]+(?:'[a-zA-Z]+)*(?!\w)")
+
+
+def _deletions(w: str) -> set[str]:
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
+def _one_edit(a: str, b: str) -> bool:
+    """Whether one letter put in, left out or exchanged, or two neighbours swapped, makes the difference."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    return a != b and (x[1:] == y[1:] and x != "" != y or x[1:] == y or x == y[1:] or x[:2] == y[1::-1] and len(x) > 1 and x[2:] == y[2:])
+
+
+class Speller:
+    """Distance one to a known word, found by symmetric deletions as SymSpell does; known words need two letters or more."""
+
+    def __init__(self, known: set[str]) -> None:
+        self.known = {w.lower() for w in known}
+        self.index: dict[str, set[str]] = {}
+        self.seen: dict[str, str] = {}
+        for w in self.known:
+            if w.isalpha() and len(w) > 1:
+                for k in _deletions(w):
+                    self.index.setdefault(k, set()).add(w)
+
+    def fix(self, word: str) -> str | None:
+        """The only known word at distance one of a word that isn't known, else None."""
+        w = word.lower()
+        if w in self.known:
+            return None
+        near = {v for k in _deletions(w) for v in self.index.get(k, ()) if _one_edit(v, w)}
+        if len(near) != 1:
+            return None
+        v = near.pop()
+        return v[0].upper() + v[1:] if word[0].isupper() else v
+
+    def fixed(self, text: str) -> str:
+        def put(m: re.Match) -> str:
+            w = m.group()
+            if w not in self.seen:
+                if len(self.seen) > 300_000:
+                    self.seen.clear()
+                self.seen[w] = self.fix(w) or w
+            return self.seen[w]
+
+        return _PLAIN_WORD.sub(put, text)
+
+
+def spell_fix(x: Column, known: set[str], words: bool = False) -> Column:
+    """The text with every misspelled word put right; with ``words`` x is a word and the result its known word or null."""
+    speller = Speller(known)
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(speller.fix if words else speller.fixed, na_action="ignore")
+
+    # else a filter on the known word is moved ahead of a distinct() of the words
+    return (run.asNondeterministic() if words else run)(x)
+
+
 def squeeze(x: Column) -> Column:
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def clean_text(x: Column, pairs: list[tuple[str, str]] = (), unicode: bool = True) -> Column:
-    """The cleaning chain in its fixed order."""
+def clean_text(x: Column, pairs: list[tuple[str, str]] = (), unicode: bool = True, known: set[str] = frozenset()) -> Column:
+    """The cleaning chain in its fixed order; the spell fix only where there are known words."""
     x = nfkc(x) if unicode else x
-    return squeeze(replace_words(collapse_repeats(dehyphenate(strip_controls(fold_quotes(x)))), list(pairs)))
+    x = replace_words(collapse_repeats(dehyphenate(strip_controls(fold_quotes(x)))), list(pairs))
+    return squeeze(spell_fix(x, known) if known else x)
 
 
 def az_words(x: Column) -> Column:

@@ -38,6 +38,11 @@ class Tables:
     def groups(self) -> dict[str, list[str]]:
         return M.groups_of(self.t("lexicon_entities"))
 
+    @cached_property
+    def known(self) -> set[str]:
+        """The words of all lexicons, for the spell fix."""
+        return L.known_words(self.groups, L.REPRESENTATION, L.SITUATION, targets=L.REPLACEMENTS)
+
     @cached_property
     def s(self) -> DataFrame:
         """Sentences, rows loaded again counted once."""
@@ -657,13 +662,15 @@ def biblio_file_names(t: Tables) -> DataFrame:
 
 @query()
 def spell_fix(t: Tables) -> DataFrame:
-    """Unknown words with exactly one known word at distance one: candidates meet on deletion keys, never all with all."""
-    words = t.m.select(F.explode(F.array_distinct(T.az_words(F.col("context_text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.length("w") > 3)
-    keys = lambda c: F.array_union(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.left(c, i - 1), F.substring(c, i + 1, F.length(c)))))
-    seen = words.filter("n <= 2").select(F.col("w").alias("seen"), F.explode(keys(F.col("w"))).alias("k"))
-    known = words.filter("n >= 20").select(F.col("w").alias("known"), F.explode(keys(F.col("w"))).alias("k"))
-    near = seen.join(known, "k").select("seen", "known").distinct().filter(F.levenshtein("seen", "known", 1) == 1)
-    return near.groupBy("seen").agg(F.count(F.lit(1)).alias("c"), F.min("known").alias("known")).filter("c = 1").select("seen", "known")
+    """Words outside the lexicons with exactly one word of the lexicons at distance one."""
+    words = t.m.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("context_text")), F.lit(T.PLAIN_WORD), F.lit(0)))).alias("seen")).distinct()
+    return words.withColumn("known", T.spell_fix(F.col("seen"), t.known, words=True)).filter("known is not null")
+
+
+@query()
+def spell_fixed_texts(t: Tables) -> DataFrame:
+    """The volumes after the whole cleaning chain with the spell fix."""
+    return t.t("corpus_documents").select("id", T.clean_text(F.col("raw_text"), L.REPLACEMENTS, known=t.known).alias("text"))
 
 
 @query()

@@ -247,3 +247,17 @@ def test_token_costs(spark):
 def test_catalogue_columns(spark):
     spark.range(1).createOrReplaceTempView("some_view")
     assert ("some_view", "id") in {(r["table_name"], r["column_name"]) for r in C.columns_of(spark).collect()}
+
+
+def test_spell_fix(spark):
+    known = {"river", "hut", "roads", "reads", "of"}
+    # a misspelling counts however often it stands there, a known word however rarely
+    df = spark.createDataFrame([(i, "The rivre, RIver Rivr ran of; a hutt, read fluß riverè") for i in range(30)] + [(30, None), (31, "")], "id int, t string")
+    got = {r["id"]: r["c"] for r in df.select("id", T.clean_text(F.col("t"), known=known).alias("c")).collect()}
+    # read is one from reads only, and as far from roads as two; words of other letters stay
+    assert got[0] == got[29] == "The river, RIver River ran of; a hut, reads fluß riverè" and got[30] is None and got[31] == ""
+    w = spark.createDataFrame([("rivre",), ("roads",), ("reaads",), ("rads",), ("xyz",), (None,)], "w string")
+    got = {r["w"]: r["f"] for r in w.select("w", T.spell_fix(F.col("w"), known, words=True).alias("f")).collect()}
+    assert got == {"rivre": "river", "roads": None, "reaads": "reads", "rads": None, "xyz": None, None: None}
+    fix = T.Speller(known).fix
+    assert [fix(x) for x in ("rivre", "roads", "reaads", "rads", "xyz", "If", "fo")] == ["river", None, "reads", None, None, "Of", "of"]
