@@ -209,6 +209,14 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def r_by_entity(m: DataFrame, entities: list[str] | None = None, examples: int = 3) -> DataFrame:
+    """Counts of R labels and of negative examples (at most ``examples``) per entity; ``entities`` names the wanted ones, None all."""
+    c = lambda *k: F.count_if(F.col("r_label").isin(*k))
+    ids = F.count_distinct(F.when(F.col("r_label") == "negative", F.col("mention_id")))
+    some = m.filter(F.col("ethnos_norm").isNotNull() if entities is None else F.col("ethnos_norm").isin(entities))
+    return some.groupBy("ethnos_norm").agg(F.count(F.lit(1)).alias("n"), c("negative").alias("negative"), c("exotic").alias("exotic"), F.least(F.lit(examples), ids).cast("int").alias("examples"))
+
+
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of every value of several columns in one pass."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns]))

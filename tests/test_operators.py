@@ -261,3 +261,10 @@ def test_spell_fix(spark):
     assert got == {"rivre": "river", "roads": None, "reaads": "reads", "rads": None, "xyz": None, None: None}
     fix = T.Speller(known).fix
     assert [fix(x) for x in ("rivre", "roads", "reaads", "rads", "xyz", "If", "fo")] == ["river", None, "reads", None, None, "Of", "of"]
+
+
+def test_r_by_entity(spark):
+    df = spark.createDataFrame([(i, f"e{i % 7}", "negative" if i < 35 else "exotic") for i in range(42)] + [(99, None, "negative")], "mention_id int, ethnos_norm string, r_label string")
+    got = {tuple(r) for r in A.r_by_entity(df).collect()}
+    assert got == {(f"e{k}", 6, 5, 1, 3) for k in range(7)}
+    assert {r[0] for r in A.r_by_entity(df, ["e2", "e6"]).collect()} == {"e2", "e6"}
