@@ -737,6 +737,12 @@ def embedding_clusters(t: Tables) -> DataFrame:
     return A.embedding_clusters(t.t("embeddings"), "embedding").select("vec_id", "label", "cluster", "x", "y")
 
 
+@query()
+def embedding_purity(t: Tables) -> DataFrame:
+    """Purity of the real clusters; ``cluster_purity`` compares the operator with SQL on numbered ones."""
+    return A.purity(A.embedding_clusters(t.t("embeddings"), "embedding"), "cluster", "label")
+
+
 @query()
 def bootstrap_eps(t: Tables) -> DataFrame:
     x = t.clean.withColumn("hit", F.when(F.col("r_label") == "negative", 1).when(F.col("r_label") == "positive", -1).otherwise(0))

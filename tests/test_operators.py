@@ -268,3 +268,17 @@ def test_r_by_entity(spark):
     got = {tuple(r) for r in A.r_by_entity(df).collect()}
     assert got == {(f"e{k}", 6, 5, 1, 3) for k in range(7)}
     assert {r[0] for r in A.r_by_entity(df, ["e2", "e6"]).collect()} == {"e2", "e6"}
+
+
+def test_purity_of_real_clusters(spark, tmp_path):
+    from quire.plans import catalogue
+
+    # eight groups far apart, one vector in each of another label
+    rows = [(g * 10 + i, [float(100 * (g == k)) + 0.01 * i for k in range(8)], 99 if i == 0 else g) for g in range(8) for i in range(10)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    e = {r["vec_id"]: r["cluster"] for r in catalogue.queries()["embedding_clusters"](spark, str(tmp_path)).collect()}
+    most = {}
+    for i, _, label in rows:
+        most.setdefault(e[i], []).append(label)
+    r = catalogue.queries()["embedding_purity"](spark, str(tmp_path)).first()
+    assert r["purity"] == sum(max(map(x.count, x)) for x in most.values()) / 80 and r["noise_ratio"] == 0
