@@ -51,7 +51,7 @@ class Windows:
 _PLACED = "container_kind string, capacity int, container_id string, item_id bigint, piece int, offset bigint, size bigint, open boolean"
 
 
-def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, windows: int = 8192, merge_group: int = 1 << 16, least_piece: int = 64) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, windows: int = 8192, merge_group: int = 1 << 16, least_piece: int = 64, most_kinds: int = 1000) -> DataFrame:
     """Assign every item to a container of each kind: container_kind, capacity, container_id, item_id, piece, offset, size.
 
     Items go, in the order in which their partition arrives (within an Arrow batch the largest
@@ -59,9 +59,12 @@ def pack(items: DataFrame, containers: DataFrame, item_id: str, size: str, windo
     shuffled.  Containers still open at a partition's end are then merged as wholes, in groups of
     about ``merge_group``.  Only an item larger than the capacity is cut: its pieces, of at least
     ``least_piece``, fill the room left in open containers or whole ones, its rest is placed best fit.  A null or negative size counts as 0 and takes no room; equal ids stay separate rows.
-    An empty table gives no rows.  ``containers`` holds one row per kind (a small fixed table).
+    An empty table gives no rows.  ``containers`` holds one row per kind (a small
+    fixed table); more than ``most_kinds`` are refused.
     """
-    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity").distinct().orderBy("container_kind").limit(1000).collect()]
+    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity").distinct().orderBy("container_kind").limit(most_kinds + 1).collect()]
+    if len(kinds) > most_kinds:
+        raise ValueError(f"more than {most_kinds} kinds of container")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()

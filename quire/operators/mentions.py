@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from quire.operators.segment import context
 
 
-def groups_of(lexicon: DataFrame) -> dict[str, list[str]]:
-    """canonical -> forms, the longest first. The lexicon is a small table (at most 100,000 rows are read)."""
+def groups_of(lexicon: DataFrame, most: int = 100_000) -> dict[str, list[str]]:
+    """canonical -> forms, the longest first. The lexicon is a small table: more than ``most`` rows are refused."""
     out: dict[str, set[str]] = {}
-    for r in lexicon.select("canonical", "variant").filter("canonical is not null and variant is not null").limit(100_000).collect():
+    rows = lexicon.select("canonical", "variant").filter("canonical is not null and variant is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} forms in the lexicon")
+    for r in rows:
         out.setdefault(r[0], set()).add(r[1])
     return {k: sorted(v, key=lambda x: (-len(x), x)) for k, v in sorted(out.items())}
 

@@ -37,3 +37,10 @@ def test_packing(spark, windows):
         big = sorted((r["offset"], r["size"]) for r in rows if r["item_id"] == 1000)
         assert all(a[0] + a[1] == b[0] for a, b in zip(big, big[1:])) and big[0][0] == 0
     assert pack(df.limit(0), kinds, "id", "n").count() == 0
+
+
+def test_no_kind_is_left_out(spark):
+    items = spark.createDataFrame([(1, 3)], "i long, n int")
+    kinds = spark.range(1001).selectExpr("concat('k', id) container_kind", "cast(10 as int) capacity")
+    with pytest.raises(ValueError, match="kinds"):
+        pack(items, kinds, "i", "n")

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire import lexicons as L
@@ -282,3 +283,10 @@ def test_purity_of_real_clusters(spark, tmp_path):
         most.setdefault(e[i], []).append(label)
     r = catalogue.queries()["embedding_purity"](spark, str(tmp_path)).first()
     assert r["purity"] == sum(max(map(x.count, x)) for x in most.values()) / 80 and r["noise_ratio"] == 0
+
+
+def test_no_form_is_left_out(spark):
+    lex = spark.range(100_001).selectExpr("'a' canonical", "concat('v', id) variant")
+    with pytest.raises(ValueError, match="forms"):
+        M.groups_of(lex)
+    assert len(M.groups_of(lex.limit(100_000))["a"]) == 100_000
