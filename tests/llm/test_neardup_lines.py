@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.houselines import chunks, repeated_lines
+from quire.llm.houselines import chunk_documents, chunks, repeated_lines
 from quire.llm.neardup import all_pairs, clusters, near_duplicates, tokens
 
 
@@ -75,11 +75,29 @@ def test_house_lines(spark):
     got = {(r["doc_id"], r["sentence_index"]) for r in repeated_lines(s, d, *args).collect()}
     want = {(k, 4) for k in range(0, 60, 2)} | {(k, 5 if k % 2 == 0 else 4) for k in range(0, 60, 3)}
     assert got == want
-    crowded = {(r["doc_id"], r["sentence_index"]) for r in repeated_lines(s, d, *args, bits=15, covered=0.1).collect()}
-    assert crowded == want
     assert repeated_lines(s.limit(0), d.limit(0), *args).count() == 0
 
 
 def test_tokens_of_unspaced_text():
     t = "尼里塔经过了孤独的石塔又在河岸旁休息傍晚时分我们描述了马比镇那座古老的山谷"
     assert len(tokens(t, 3, 8)) == len(t) - 7 and tokens(t, 3, 8).dtype == np.uint32
+
+
+def test_chunk_documents_as_brute_force(spark):
+    r = random.Random(6)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    rows = [(s, 5, d, " ".join(r.choice(words) for _ in range(8)) if r.random() < 0.6 else "Return to the North Library by noon") for s in (1, 2) for d in range(30) for _ in range(r.randint(1, 3))]
+    want = {}
+    for s, _, d, t in rows:
+        for h in chunks([t])[1].tolist():
+            want.setdefault((s, h), set()).add(d)
+    got = chunk_documents(spark.createDataFrame(rows, "src long, enough long, doc_id long, text string").repartition(7)).collect()
+    assert sorted(x["docs"] for x in got) == sorted(len(v) for v in want.values()) and max(x["docs"] for x in got) > 20
+
+
+def test_words_are_runs_of_letters(spark):
+    rows = [(d, 0, t) for d in range(6) for t in ["a-b-c-d", "only three words"]]
+    s = spark.createDataFrame([(d, i, t, "s") for i, (d, _, t) in enumerate(rows)], "doc_id long, sentence_index int, text string, source string")
+    d = spark.createDataFrame([(d, "a-b-c-d\nonly three words", "s") for d in range(6)], "id long, raw_text string, source string")
+    got = {(x["doc_id"], x["sentence_index"]) for x in repeated_lines(s, d, "doc_id", "sentence_index", "text", "source", "id", "raw_text", "source").collect()}
+    assert got == {(d, i) for i, (d, _, t) in enumerate(rows) if t == "a-b-c-d"}
