@@ -50,9 +50,12 @@ def chunks(texts: list[str], window: int = 4, radius: int = 5) -> tuple[np.ndarr
         start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         never = np.uint64((1 << 64) - 1)
         roll[np.arange(n) - start < window - 1] = never  # the window would reach into the row before
-        least, padded = roll, np.concatenate([np.full(radius, never), roll, np.full(radius, never)])
-        for k in range(2 * radius + 1):
-            least = np.minimum(least, padded[k : k + n])
+        at = np.arange(n) + radius * np.cumsum(first)  # rows stand ``radius`` cells apart, so none sees another
+        spread = np.full(at[-1] + 1 + radius, never)
+        spread[at] = roll
+        least = roll
+        for k in range(-radius, radius + 1):
+            least = np.minimum(least, spread[at + k])
         last = np.concatenate([first[1:], [True]]) | ((roll == least) & (roll != never))
         end = np.flatnonzero(last)
         begin = np.concatenate([[0], end[:-1] + 1])
@@ -197,7 +200,8 @@ def repeated_lines(sentences: DataFrame, documents: DataFrame, doc_id: str, inde
                 out += [(src, key, " ".join(x)) for x in cand if fits(list(x), list(w))]
             yield pd.DataFrame(out, columns=["source", "w", "line"])
 
-    matched = cut_lineage(texts.join(lines, "source").mapInPandas(match, "source string, w bigint, line string"))
+    many = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put into one task
+    matched = cut_lineage(texts.join(lines, "source").repartition(many, "w").mapInPandas(match, "source string, w bigint, line string"))
     said = found.join(matched, ["source", "w"])
     full = said.groupBy("source", "line", "doc_id").agg(F.lit(1).alias("_1")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).join(needed.select("source", "enough"), "source").filter("docs >= enough")
     best = matched.join(full.select("source", "line", "docs"), ["source", "line"]).groupBy("source", "w").agg(F.max_by("line", F.struct("docs", "line")).alias("line"))
