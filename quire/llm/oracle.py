@@ -27,7 +27,7 @@ w AS (SELECT f.*, n_records, CASE WHEN records <= 2 THEN 'rare' WHEN records >=
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _PAIRS + "SELECT item_a ethnos_a, item_b ethnos_b FROM q WHERE n_ab >= 3 AND n_ab * n_records >= 2 * n_a * n_b",
-        "p1_counts": _PAIRS + "SELECT * FROM q",
+        "p1_counts": _PAIRS + "SELECT *, round(n_ab * n_records / (n_a * n_b), 9) lift FROM q",
         "p2_found": _TERMS + "SELECT term, mark FROM w WHERE mark IS NOT NULL",
         "p2_frequencies": _TERMS + "SELECT * FROM w",
     }

@@ -27,7 +27,7 @@ def _pairs(spark: SparkSession, d: str, surprise: bool) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d, surprise=False)
+    p = _pairs(spark, d, surprise=True)
     case = (F.col("n_ab") >= 3) & (F.col("n_ab") * F.col("n_records") >= 2 * F.col("n_a") * F.col("n_b"))
     return p.filter(case).select(F.col("item_a").alias("ethnos_a"), F.col("item_b").alias("ethnos_b"))
 
@@ -37,7 +37,7 @@ def p1_surprise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d, surprise=False).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_records")
+    return _pairs(spark, d, surprise=False).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_records", F.round("lift", 9).alias("lift"))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:

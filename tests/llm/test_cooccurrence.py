@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.cooccurrence import cooccurrence, false_discovery, fit_null, poisson_binomial_tail
+from quire.llm.cooccurrence import cells, cooccurrence, false_discovery, fit_null, poisson_binomial_tail
 
 
 def rows(seed=1, records=60, items="abcdefg"):
@@ -57,7 +57,53 @@ def test_tails_against_convolution():
             exact = pmf[c:].sum()
             got = poisson_binomial_tail(q[None], n, np.array([c]))[0]
             mean = (n * q).sum()
-            assert abs(got - exact) < 1e-9 if c <= 48 else c <= mean or abs(got - exact) < 0.05 * exact + 1e-9
+            assert abs(got - exact) < 1e-9 if c <= 48 else abs(got - exact) < 0.05 * min(exact, 1 - exact) + 2e-3 * (abs(c - mean) < 3) + 1e-9
+
+
+def test_small_tails_keep_their_digits():
+    n, q = np.array([300, 200.0]), np.array([[0.01, 0.004]])
+    pmf = np.ones(1)
+    for k, p in zip(n.astype(int), q[0]):
+        pmf = np.convolve(pmf, [math.comb(k, j) * p**j * (1 - p) ** (k - j) for j in range(k + 1)])
+    for c in (25, 35, 45):
+        exact = math.fsum(pmf[c:])
+        assert exact < 1e-9 and abs(poisson_binomial_tail(q, n, np.array([c]))[0] / exact - 1) < 1e-6
+
+
+def test_large_records_in_blocks(spark):
+    r = random.Random(4)
+    sets = {i: r.sample([f"i{k}" for k in range(40)], n) for i, n in enumerate([0, 1, 3, 12, 30, 40])}
+    flat = [(i, 0, x) for i, v in sets.items() for x in v] + [(i, 0, None) for i in sets]
+    df = spark.createDataFrame(flat, "r long, s int, item string")
+    want = Counter(p for v in sets.values() for p in itertools.combinations_with_replacement(sorted(v), 2))
+    for block in (5, 7, 256):
+        got = cells(df, block).collect()
+        assert {(x["a"], x["b"]): x["n"] for x in got if x["a"]} == dict(want)
+        assert sorted((x["size"], x["n"]) for x in got if not x["a"]) == [(0, 1), (1, 1), (3, 1), (12, 1), (30, 1), (40, 1)]
+
+
+def test_p_and_q_as_brute_force(spark):
+    data = rows(5, 40)
+    sets = {}
+    for k, i, _ in data:
+        sets.setdefault(k, set()).update([i] if i else [])
+    got = cooccurrence(spark.createDataFrame(data, "rec int, item string, x string"), [F.col("rec")], F.col("item")).collect()
+    n = Counter(x for s in sets.values() for x in s)
+    sizes = Counter(len(s) for s in sets.values() if s)
+    deg = sorted(set(n.values()))
+    x, y = fit_null(np.array(deg), [list(n.values()).count(v) for v in deg], sorted(sizes), [sizes[k] for k in sorted(sizes)])
+    px = dict(zip(deg, x))
+    for g in got:
+        pmf = np.ones(1)
+        for k, v in zip(sorted(sizes), y):
+            prob = np.prod([px[g[c]] * v / (1 + px[g[c]] * v) for c in ("n_a", "n_b")])
+            for _ in range(sizes[k]):
+                pmf = np.convolve(pmf, [1 - prob, prob])
+        assert abs(pmf[g["n_ab"] :].sum() - g["p_value"]) < 1e-7
+    tests = len(n) * (len(n) - 1) / 2
+    for g in got:
+        ps = [(h["p_value"], sum(k["p_value"] <= h["p_value"] for k in got)) for h in got if h["p_value"] >= g["p_value"]]
+        assert abs(g["q_value"] - min(1.0, min(p * tests / k for p, k in ps))) < 1e-9
 
 
 def test_false_discovery(spark):
