@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.sketch import pieces, total
-from quire.session import cut_lineage
+from quire.session import cut_lineage, release
 
-SKETCH_BITS = 20
+#: Cells of the count of tokens: as many as the collection has tokens, roughly, within these bounds (of 2^bits).
+SKETCH_BITS = (16, 23)
+#: More furniture lines than this in a row are a list.
+FURNITURE_RUN = 4
 GROUPS = 256
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"[-\xad\xac][ \t]*\r?\n[ \t]*")
@@ -48,7 +51,11 @@ _IDS = _Ids()
 
 def body(text: str) -> str:
     """The text without its furniture, told by its place alone: lines without letters, short lines that
-    stand alone between blank ones (headings, house lines), lines that come again in the same text."""
+    stand alone between blank ones (headings, house lines), lines that come again in the same text.
+
+    Furniture stands between lines of text; more than ``FURNITURE_RUN`` such lines one after the
+    other are text themselves, a list or table, and stay.
+    """
     lines = text.split("\n")
     plain = [x.strip() for x in lines]
     core = [x.strip("0123456789 ()[]{}.,-—–|·*") for x in plain]
@@ -57,16 +64,23 @@ def body(text: str) -> str:
         if 8 < len(c) < 80:
             c = c.lower()
             again[c] = again.get(c, 0) + 1
-    kept, last = [], len(lines) - 1
+    kept, run, last = [], [], len(lines) - 1
     for k, x in enumerate(lines):
         n = len(plain[k])
-        if n < 100 and n:
+        if not n:
+            continue
+        if n < 100:
             alone = (k == 0 or not plain[k - 1]) and (k == last or not plain[k + 1])
             if alone or n <= 14 and not any(c.isalpha() for c in x) or n < 80 and again.get(core[k].lower(), 0) > 1:
+                run.append(x)
                 continue
+        if len(run) > FURNITURE_RUN:
+            kept += run
+        run = []
         kept.append(x)
-    slim = "\n".join(kept)
-    return slim if 2 * len(slim) > len(text) else text  # else the lines are the text
+    if len(run) > FURNITURE_RUN or not kept:
+        kept += run
+    return "\n".join(kept)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -108,9 +122,9 @@ def group_counts(tok: np.ndarray) -> np.ndarray:
     return np.bincount(tok % np.uint32(GROUPS), minlength=GROUPS)
 
 
-def _survey(docs: DataFrame, kind: str, run: int, char_run: int) -> DataFrame:
+def _survey(docs: DataFrame, kind: str, run: int, char_run: int, bits: int) -> DataFrame:
     """One pass over the texts: a partial sketch of token counts, every record's tokens and exact-copy key."""
-    size = 1 << SKETCH_BITS
+    size = 1 << bits
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(size, np.uint32)
@@ -127,10 +141,10 @@ def _survey(docs: DataFrame, kind: str, run: int, char_run: int) -> DataFrame:
     return docs.mapInPandas(look, f"kind string, chunk int, blob binary, id {kind}, tok binary")
 
 
-def _some(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
-    """Semi or anti join by id that spares the texts a shuffle where the ids are few (their number is checked)."""
-    few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if few else ids, "id", how)
+def _sketch_bits(docs: DataFrame) -> int:
+    """About one cell for every eight bytes that the planner expects to read."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max((size // 8).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float = 0.8, run: int = 5, char_run: int = 12, shared: int = 14):
@@ -145,18 +159,21 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
     """
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
     kind = dict(base.dtypes)["id"]
-    survey = cut_lineage(_survey(base, kind, run, char_run))
+    bits = _sketch_bits(base)
+    survey = cut_lineage(_survey(base, kind, run, char_run, bits))
     copies = survey.filter("kind = 'c'").select("id", "blob")
     classes = copies.groupBy("blob").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("n"))
     doubled = classes.filter("n > 1").select("blob", "class_id")
     members = cut_lineage(copies.join(doubled, "blob").select("id", "class_id").distinct())
     rest = members.filter("id <> class_id").select("id").distinct()
-    order = docs.sparkSession.sparkContext.broadcast(total(survey.filter("kind = 't'"), SKETCH_BITS))
+    # one byte a cell; 0 stands for counts of at most one, of which no cell's token can have more
+    sums = np.maximum(total(survey.filter("kind = 't'"), bits), 1)
+    order = docs.sparkSession.sparkContext.broadcast((np.log2(sums) * 8).astype(np.uint8))
     t = similarity
     held = survey.filter("kind = 'c'").select("id", "tok")
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = order.value.astype(np.uint64)
+        counts = order.value
         for b in batches:
             heads, ids, ns = [], [], []
             for i, blob in zip(b["id"].tolist(), b["tok"].tolist()):
@@ -165,16 +182,17 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
                 if not n:
                     continue
                 top = min(n, int(n * (1 - t)) + 1 + shared)
-                key = counts[tok & np.uint32((1 << SKETCH_BITS) - 1)] << _U(32) | tok
+                key = counts[tok & np.uint32((1 << bits) - 1)].astype(np.uint64) << _U(32) | tok
                 key = np.sort(np.partition(key, top - 1)[:top] if top < n else key)
-                heads.append(np.arange(top, dtype=np.int64) << 32 | (key & _U(0xFFFFFFFF)).astype(np.int64))
-                ids.append(np.full(top, i))
-                ns.append(np.full(top, n, np.int32))
+                alone = int(np.searchsorted(key, _U(1 << 32)))  # these stand in no other record
+                heads.append(np.arange(alone, top, dtype=np.int64) << 32 | (key[alone:] & _U(0xFFFFFFFF)).astype(np.int64))
+                ids.append(np.full(top - alone, i))
+                ns.append(np.full(top - alone, n, np.int32))
             if heads:
                 yield pd.DataFrame({"id": np.concatenate(ids), "n": np.concatenate(ns), "head": np.concatenate(heads)})
 
     # a head holds a token in its lower half and the token's place in the record's order in its upper one
-    heads = _some(held, rest, "left_anti").mapInPandas(prefixes, f"id {kind}, n int, head bigint")
+    heads = held.join(rest, "id", "left_anti").mapInPandas(prefixes, f"id {kind}, n int, head bigint")
     token, pos = (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)), (lambda c: F.shiftright(F.col(c), 32))
     # both sides are one exchange
     x, y = heads.repartition(token("head")).alias("x"), heads.repartition(token("head")).alias("y")
@@ -187,8 +205,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
     found = near.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(least).alias("k")).filter("c >= k")
     found = cut_lineage(found.select("a", "b"))
     links = found.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    few = links.limit(500_001).count() <= 500_000  # the links are broadcast only while they are known to be few
-    joined = held.join(F.broadcast(links) if few else links, "id")
+    joined = held.join(links, "id")
     both = joined.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("tok"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("tok"))).alias("tb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +227,10 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, similarity: float =
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of records, classes of copies written out: (a, b), a < b."""
+    """Pairs of records, classes of copies written out: (a, b), a < b.
+
+    Quadratic in the size of a class of exact copies; ``clusters`` is the form that is not.
+    """
     m = members.select(F.col("class_id").alias("k"), F.col("id").alias("m"))
     left = pairs.join(m.toDF("a", "ma"), "a", "left").select(F.coalesce("ma", "a").alias("x"), "b")
     both = left.join(m.toDF("b", "mb"), "b", "left").select("x", F.coalesce("mb", "b").alias("y"))
@@ -218,20 +238,22 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same).distinct()
 
 
-def clusters(members: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, cluster_id): connected records, by least ids spread along pairs and pointers doubled.
 
-    Only records with a copy or partner come out.  Each round's table is written to the
-    checkpoint folder; the number of rounds is logarithmic in the longest chain.
+    Only records with a copy or partner come out.  Rounds, each written to the
+    shared folder, go on until nothing changes; their number is logarithmic in the longest chain.
     """
     edges = cut_lineage(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).union(members.select("id", "class_id")).union(members.select("class_id", "id")).distinct())
     state = cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("r")))
-    for _ in range(rounds):
+    while True:
         spread = edges.join(state.toDF("v", "rv"), "v").groupBy("u").agg(F.min("rv").alias("m"))
         low = state.join(spread, "u").select("u", F.least("r", "m").alias("r"))
         hop = low.join(low.toDF("r", "rr"), "r", "left").select("u", F.coalesce("rr", "r").alias("r2"))
         new = cut_lineage(hop.toDF("u", "r"))
-        if not new.join(state.toDF("u", "old"), "u").filter("r <> old").limit(1).count():
-            break
+        done = new.join(state.toDF("u", "old"), "u").filter("r <> old").isEmpty()
+        release(state)
         state = new
+        if done:
+            break
     return state.toDF("id", "cluster_id")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm.houselines import chunk_documents, chunks, repeated_lines
-from quire.llm.neardup import all_pairs, clusters, near_duplicates, tokens
+from quire.llm.neardup import all_pairs, body, clusters, near_duplicates, tokens
 
 
 def texts(seed=2):
@@ -101,3 +101,14 @@ def test_words_are_runs_of_letters(spark):
     d = spark.createDataFrame([(d, "a-b-c-d\nonly three words", "s") for d in range(6)], "id long, raw_text string, source string")
     got = {(x["doc_id"], x["sentence_index"]) for x in repeated_lines(s, d, "doc_id", "sentence_index", "text", "source", "id", "raw_text", "source").collect()}
     assert got == {(d, i) for i, (d, _, t) in enumerate(rows) if t == "a-b-c-d"}
+
+
+def test_furniture_is_told_by_its_place():
+    prose = "We crossed the river before dawn and sold the tea in the market near the old bridge beside the quiet mill"
+    furniture = "\n\nVOYAGE TO THE LAKES\n\n12\n\n"
+    assert body(f"{prose}\n{prose[::-1]}{furniture}{prose.upper()}") == f"{prose}\n{prose[::-1]}\n{prose.upper()}"
+    listed = [f"{k} bales of wool number {k}" for k in range(9)]
+    assert body("\n\n".join(listed)) == "\n".join(listed)
+    # whatever share of the text the list is
+    assert listed[3] in body("\n\n".join(listed) + f"\n\n{prose}\n{prose[::-1]}\n{prose.upper()}")
+    assert body("") == "" and body("12") == "12" and body("\n \n") == ""
