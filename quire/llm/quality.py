@@ -29,11 +29,19 @@ def skeleton(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
 
 
-def common_words(rows: DataFrame, text: str, share: float = 0.003) -> list[str]:
-    """Words standing in at least ``share`` of the rows: at most (words per row) / share of them."""
-    w = rows.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}]+"))).alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    n = rows.count()
-    return sorted(r["w"] for r in w.filter(F.col("n") >= max(2.0, share * n)).collect())
+def counted_keys(rows: DataFrame) -> DataFrame:
+    """(h, doc_id, word, n): rows by line of letters and document, and by word, from one pass over (doc_id, text).
+
+    Lines of fewer than ten letters have h null; a word row has only ``word``.
+    """
+    line = skeleton(F.col("text"))
+    with_line = rows.select("doc_id", "text", line.alias("_line"))
+    h = F.when(F.length("_line") >= 10, F.xxhash64("_line"))
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")), lambda w: w != "")
+    no = F.lit(None).cast(rows.schema["doc_id"].dataType)
+    each = F.concat(F.array(F.struct(h.alias("h"), F.col("doc_id").alias("doc_id"), F.lit(None).cast("string").alias("word"))),
+                    F.transform(words, lambda w: F.struct(F.lit(None).cast("bigint").alias("h"), no.alias("doc_id"), w.alias("word"))))
+    return with_line.select(F.explode(each).alias("k")).groupBy("k.h", "k.doc_id", "k.word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def row_statistics(text: Column, words: Column, common: list[str]) -> dict[str, Column]:
@@ -50,13 +58,13 @@ def row_statistics(text: Column, words: Column, common: list[str]) -> dict[str,
         "enumerated": text.rlike(_ENUMERATED),
         "n_words": F.size(words),
         "n_common": F.size(F.filter(words, lambda w: F.lower(w).isin(common))) if common else F.lit(0),
-        "n_lower": F.size(F.filter(words, lambda w: w.rlike(r"^[\p{Ll}\p{Lo}][\p{Ll}\p{Lo}\p{M}'’-]+$"))),
+        "n_lower": F.regexp_count(text, F.lit(r"(?<![\p{L}\p{M}\p{N}'’-])[\p{Ll}\p{Lo}][\p{Ll}\p{Lo}\p{M}'’-]++(?![\p{Lu}\p{Lt}\p{Lm}\p{N}])")),
         "n_distinct": F.size(F.array_distinct(F.transform(words, F.lower))),
         "letters": F.length(F.array_join(words, "")),
     }
 
 
-def document_statistics(rows: DataFrame, doc_id: str, index: str, text: str, repeated: float = 0.005, least: int = 5) -> DataFrame:
+def document_statistics(rows: DataFrame, doc_id: str, index: str, text: str, repeated: float = 0.005, least: int = 5, common: float = 0.003) -> DataFrame:
     """One row per document: its STATISTICS, ``n_rows`` and ``natural_share``.
 
     Rows whose letters stand in at least ``least`` documents and ``repeated`` of all (house lines)
@@ -64,14 +72,18 @@ def document_statistics(rows: DataFrame, doc_id: str, index: str, text: str, rep
     loaded twice counts once.  Null texts and null indices are left out; an empty text counts as a
     row without words; an empty table gives no rows.
     """
-    base = rows.select(F.col(doc_id).alias("doc_id"), F.col(index).alias("i"), F.col(text).alias("text")).filter("text is not null and i is not null").withColumn("h", F.xxhash64(skeleton(F.col("text"))))
-    by_line = base.filter(F.length(skeleton(F.col("text"))) >= 10).groupBy("h", "doc_id").agg(F.lit(1).alias("_1")).groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
-    common = common_words(base, "text")
-    n_docs = base.agg(F.count_distinct("doc_id")).first()[0]
-    house = by_line.filter(F.col("docs") >= max(float(least), repeated * n_docs)).select("h", F.lit(0).alias("own"))  # at most (rows per document) / repeated
-    own = base.join(F.broadcast(house) if house.limit(500_001).count() <= 500_000 else house, "h", "left").withColumn("own", F.coalesce("own", F.lit(1)))
+    base = rows.select(F.col(doc_id).alias("doc_id"), F.col(index).alias("i"), F.col(text).alias("text")).filter("text is not null and i is not null")
+    keys = cut_lineage(counted_keys(base))
+    lines = keys.filter("word is null")
+    n_rows, n_docs = lines.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("doc_id")).first()
+    # words standing in at least ``common`` of the rows: at most (words per row) / common of them
+    words_ = keys.filter(F.col("word").isNotNull() & (F.col("n") >= max(2.0, common * n_rows))).select("word").collect()
+    common_ = sorted(r["word"] for r in words_)
+    by_line = lines.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    house = cut_lineage(by_line.filter(F.col("docs") >= max(float(least), repeated * n_docs)).select("h", F.lit(0).alias("own")))  # at most (rows per document) / repeated
+    own = base.withColumn("h", F.xxhash64(skeleton(F.col("text")))).join(house, "h", "left").withColumn("own", F.coalesce("own", F.lit(1)))
     own = own.withColumn("words", F.filter(F.split("text", r"[^\p{L}\p{M}\p{N}'’-]+"), lambda w: w != ""))  # split once for all that follows
-    s = row_statistics(F.col("text"), F.col("words"), common)
+    s = row_statistics(F.col("text"), F.col("words"), common_)
     r = own.select("doc_id", "i", "own", *[v.alias(k) for k, v in s.items()])
     natural = ~F.col("enumerated") & (F.col("native") & (F.col("chars") >= 6) | F.col("terminal") & (F.col("n_words") >= 5) & (F.col("n_lower") >= 3))
     r = r.withColumns({"natural": F.when(natural, F.col("chars")).otherwise(0), "n_native": F.when(F.col("native"), F.col("n_words")).otherwise(0),
