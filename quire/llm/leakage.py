@@ -4,7 +4,7 @@ Q-gram lemma filtering.  The held-out items (a table proven small) are cut into
 non-overlapping blocks of q letters; a document's letter stream is hashed at every position and
 looked up among them.  Hits are counted per item in overlapping diagonal bands: an occurrence
 with at most e damaged words keeps all blocks but those the damaged words touch, so a band with
-fewer blocks than the edit budget allows can hold no case.  Surviving regions are verified by a
+fewer blocks than the worst choice of such words leaves can hold no case.  Surviving regions are verified by a
 banded alignment of words.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+#: Letters of the blocks that are counted once more inside a region.
+FINE = 6
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,11 +50,33 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
         return out * _M
 
 
+def blocks_left(lengths: list[int], q: int, share: float, damage: float) -> int:
+    """The fewest blocks of q letters that an occurrence keeps, whichever stretch it is and whichever words are damaged.
+
+    ``lengths`` are the letters of the item's words.  For every stretch of as many words as count,
+    the blocks inside it less those that its most harmful words touch.
+    """
+    n = math.ceil(share * len(lengths))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    most = math.ceil(damage * n)
+    least = None
+    for i in range(len(lengths) - n + 1):
+        first, last = -(-ends[i] // q), ends[i + n] // q  # whole blocks of the stretch
+        # whole blocks of the item end before its last full one
+        last = min(last, ends[-1] // q)
+        touched = sorted((min(last, -(-ends[j + 1] // q)) - max(first, ends[j] // q) for j in range(i, i + n)), reverse=True)
+        left = max(0, last - first) - sum(t for t in touched[:most] if t > 0)
+        least = left if least is None else min(least, left)
+    return int(max(1, least or 0))
+
+
 class ItemIndex:
+    """The blocks of all items, sorted by hash."""
+
     def __init__(self, ids: list, texts: list[str], q: int, share: float, damage: float, band: int) -> None:
         self.ids, self.q, self.share, self.damage, self.band = ids, q, share, damage, band
         self.words = [_WORD.findall(t.lower()) for t in texts]
-        hashes, item, pos, self.need, self.length = [], [], [], [], []
+        hashes, item, pos, need, self.length, self.fine = [], [], [], [], [], []
         for k, w in enumerate(self.words):
             s = "".join(w)
             codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
@@ -61,17 +85,24 @@ class ItemIndex:
             hashes.append(h)
             item.append(np.full(len(h), k))
             pos.append(np.arange(len(h)) * q)
-            # the shortest stretch that counts, and the blocks its damaged words leave
-            n = math.ceil(share * len(w))
-            letters_ = share * len(s)
-            lost = math.ceil(damage * n) * (1 + (len(s) / max(len(w), 1) - 1) / q)
-            self.need.append(max(2, math.floor(letters_ / q - 1 - lost)))
+            lengths = [len(x) for x in w]
+            need.append(blocks_left(lengths, q, share, damage))
+            h = qgram_hashes(codes, FINE)[::FINE]
+            by = np.argsort(h, kind="stable")
+            self.fine.append((h[by], by * FINE, blocks_left(lengths, FINE, share, damage)))
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.pos = self.hash[order], np.concatenate(item)[order].astype(np.int64) if hashes else order, np.concatenate(pos)[order] if hashes else order
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
-        self.need = np.array(self.need, np.int64)
+        self.need = np.array(need, np.int64)
+        self._seen: np.ndarray | None = None
+
+    @property
+    def seen(self) -> np.ndarray:
+        """The upper bits of all hashes; made where it is used, so that it does not travel."""
+        if self._seen is None:
+            self._seen = np.zeros(1 << 22, bool)
+            self._seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        return self._seen
 
     def candidates(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text number, item, position in the text's letters) of every band that passes the lemma."""
@@ -94,20 +125,41 @@ class ItemIndex:
         doc = np.searchsorted(starts, where, "right") - 1
         diag = where - pos + (1 << 20)  # the constant keeps it positive at a text's start
         out = []
-        for shift in (0, self.band // 2):  # overlapping bands
+        for shift in (0, self.band // 2):  # overlapping bands: shifts of up to half a band stay in one
             key = np.stack([doc, item, (diag + shift) // self.band, pos], 1)
             key = np.unique(key, axis=0)
-            group, first, count = np.unique(key[:, :3], axis=0, return_index=True, return_counts=True)
+            group, count = np.unique(key[:, :3], axis=0, return_counts=True)
             good = count >= self.need[group[:, 1]]
-            for (d, i, b), f in zip(group[good], first[good]):
-                out.append((int(d), int(i), int(b * self.band - shift - (1 << 20) - starts[d])))
+            for d, i, b in group[good].tolist():
+                begin = b * self.band - shift - (1 << 20)  # where the item would begin in the stream, at least
+                lo, hi = max(begin - self.band, int(starts[d])), min(begin + self.length[i] + 2 * self.band, int(starts[d + 1]) - self.q)
+                if self._passes(codes[lo:hi], i):
+                    out.append((d, i, int(begin - starts[d])))
         return sorted(set(out))
 
+    def _passes(self, codes: np.ndarray, item: int) -> bool:
+        """The lemma once more for one region, with blocks of FINE letters, of which more must be left."""
+        known, pos, need = self.fine[item]
+        h = qgram_hashes(codes, FINE)
+        lo, hi = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+        at = np.flatnonzero(hi > lo)
+        n = hi[at] - lo[at]
+        if not len(at):
+            return False
+        where, entry = np.repeat(at, n), np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        p = pos[entry]
+        diag = where - p + (1 << 20)
+        for shift in (0, self.band // 2):
+            key = np.unique((diag + shift) // self.band << 24 | p)
+            if np.bincount((key >> 24) - (key[0] >> 24)).max() >= need:
+                return True
+        return False
+
     def verify(self, text_words: list[str], offsets: np.ndarray, item: int, start: int) -> bool:
         """Whether one stretch near the diagonal holds enough of the item's words in order."""
         a = self.words[item]
-        lo = max(0, int(np.searchsorted(offsets, start - 3 * self.band)) - 1)
-        hi = int(np.searchsorted(offsets, start + self.length[item] + 4 * self.band))
+        lo = max(0, int(np.searchsorted(offsets, start - self.band)) - 1)
+        hi = int(np.searchsorted(offsets, start + self.length[item] + 2 * self.band)) + 1
         return covered(a, text_words[lo:hi], self.damage) >= self.share * len(a)
 
 
@@ -167,25 +219,32 @@ def covered(item: list[str], words: list[str], damage: float) -> int:
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-           q: int = 10, share: float = 0.5, damage: float = 0.1, band: int = 24, most_items: int = 100_000) -> DataFrame:
+           q: int = 10, share: float = 0.5, damage: float = 0.1, band: int = 64, most_items: int = 100_000) -> DataFrame:
     """(doc_id, item_id) where one stretch of the document holds at least ``share`` of the item's words.
 
-    ``items`` is held in every task; more than ``most_items`` rows are refused, so its size is
-    bounded.  Null texts hold nothing and null items are not searched; repeated rows give a pair
-    once; texts of any length are searched whole; an empty table on either side gives no rows.
+    Items are searched in blocks of about ``most_items``, one pass over the documents for each, so
+    that what every task holds is bounded.  Null texts hold nothing and null items are not
+    searched; repeated rows give a pair once; texts of any length are searched whole; an empty
+    table on either side gives no rows.
     """
-    rows = items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} items: search them in several runs")
-    rows = [r for r in sorted(rows, key=lambda r: (str(r[0]), r[1])) if _WORD.search(r[1])]
     kind = items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {kind}"
-    index = documents.sparkSession.sparkContext.broadcast((
-        [r[0] for r in rows], [r[1] for r in rows]))
+    known = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
+    blocks = max(1, math.ceil(known.count() / most_items))
+    some = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
+    found = None
+    for block in range(blocks):
+        part = known.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else known
+        rows = [r for r in sorted(part.collect(), key=lambda r: (str(r[0]), r[1])) if _WORD.search(r[1])]
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], q, share, damage, band))
+        one = some.mapInPandas(_searcher(index, band), schema)
+        found = one if found is None else found.union(one)
+    return found.distinct()
+
 
+def _searcher(index, band: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts = index.value
-        ix = ItemIndex(ids, texts, q, share, damage, band)
+        ix = index.value
         for b in batches:
             found = []
             docs, bodies = b["doc_id"].tolist(), b["text"].tolist()
@@ -198,17 +257,16 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 words: dict[int, tuple] = {}
                 good, tried = set(), set()
                 for d, i, start in ix.candidates(bodies[lo:hi]):
-                    if (d, i) in good or (d, i, start // band) in tried:
+                    if (d, i) in good or (d, i, start) in tried:
                         continue
-                    tried |= {(d, i, start // band + k) for k in (-1, 0, 1)}  # the windows overlap by more than that
+                    tried.add((d, i, start))
                     if d not in words:
                         w = _WORD.findall(bodies[lo + d].lower())
                         words[d] = w, np.cumsum([0] + [len(x) for x in w])[:-1]
                     if ix.verify(*words[d], i, start):
                         good.add((d, i))
-                found += [(docs[lo + d], ids[i]) for d, i in good]
+                found += [(docs[lo + d], ix.ids[i]) for d, i in good]
                 lo = hi
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
-    some = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    return some.mapInPandas(search, schema).distinct()
+    return search

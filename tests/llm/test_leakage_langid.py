@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm.langid import document_languages, is_scrap, repaired, segments, settled, stated_language, train
-from quire.llm.leakage import alike, covered, leaked, letters, qgram_hashes
+from quire.llm.leakage import alike, blocks_left, covered, leaked, letters, qgram_hashes
 
 R = random.Random(5)
 VOCABULARY = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(3, 9))) for _ in range(900)]
@@ -47,9 +47,30 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs + [(900, None), (901, ""), docs[0]], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(77, None), (78, "")], "item_id int, text string")
     assert {tuple(r) for r in leaked(df, it).collect()} == want
+    assert {tuple(r) for r in leaked(df, it, most_items=5).collect()} == want  # in three blocks
     assert leaked(df.limit(0), it).count() == 0 and leaked(df, it.limit(0)).count() == 0
 
 
+def test_no_damage_leaves_fewer_blocks():
+    r = random.Random(11)
+    for _ in range(40):
+        lengths = [r.randint(1, 12) for _ in range(r.randint(6, 30))]
+        q, n = 5, -(-len(lengths) // 2)
+        ends = [0]
+        for x in lengths:
+            ends.append(ends[-1] + x)
+        bound = blocks_left(lengths, q, 0.5, 0.1)
+        for _ in range(60):
+            i = r.randrange(len(lengths) - n + 1)
+            bad = r.sample(range(i, i + n), -(-n // 10))
+            kept = 0
+            for b in range(ends[-1] // q):
+                lo, hi = b * q, b * q + q
+                inside = lo >= ends[i] and hi <= ends[i + n]
+                kept += inside and not any(ends[j] < hi and ends[j + 1] > lo for j in bad)
+            assert kept >= bound or bound == 1
+
+
 EN = "the old river was near the town and we crossed it before dawn with our horses"
 DE = "der alte fluss war nahe der stadt und wir überquerten ihn vor sonnenaufgang mit den pferden"
 RU = "старая река была близко и мы перешли её до рассвета вместе с лошадьми"
