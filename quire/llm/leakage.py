@@ -126,11 +126,14 @@ class ItemIndex:
         diag = where - pos + (1 << 20)  # the constant keeps it positive at a text's start
         out = []
         for shift in (0, self.band // 2):  # overlapping bands: shifts of up to half a band stay in one
-            key = np.stack([doc, item, (diag + shift) // self.band, pos], 1)
-            key = np.unique(key, axis=0)
-            group, count = np.unique(key[:, :3], axis=0, return_counts=True)
-            good = count >= self.need[group[:, 1]]
-            for d, i, b in group[good].tolist():
+            band = (diag + shift) // self.band
+            by = np.lexsort((pos, band, item, doc))
+            d, i, b, p = doc[by], item[by], band[by], pos[by]
+            group = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
+            fresh = group | np.concatenate([[True], p[1:] != p[:-1]])  # a block counts once in a band
+            begins = np.flatnonzero(group)
+            good = begins[np.add.reduceat(fresh.astype(np.int64), begins) >= self.need[i[begins]]]
+            for d, i, b in zip(d[good].tolist(), i[good].tolist(), b[good].tolist()):
                 begin = b * self.band - shift - (1 << 20)  # where the item would begin in the stream, at least
                 lo, hi = max(begin - self.band, int(starts[d])), min(begin + self.length[i] + 2 * self.band, int(starts[d + 1]) - self.q)
                 if self._passes(codes[lo:hi], i):
@@ -191,13 +194,14 @@ def covered(item: list[str], words: list[str], damage: float) -> int:
     for j, w in enumerate(words):
         index.setdefault(w, []).append(j)
     width = len(words) + 1
+    size = np.array([len(w) for w in words])
     prev, pstart, pgood = np.zeros(width), np.full(width, -1), np.zeros(width, int)
     for i, w in enumerate(item):
         hit = np.zeros(len(words), bool)
         hit[index.get(w, [])] = True
-        near = prev[:-1] > 3
-        for j in np.flatnonzero(near & ~hit):
-            hit[j] = alike(w, words[j])
+        if len(w) >= 4:
+            for j in np.flatnonzero((prev[:-1] > 3) & ~hit & (np.abs(size - len(w)) <= 2) & (size >= 4)):
+                hit[j] = alike(w, words[j])
         diag = prev[:-1] + np.where(hit, 1.0, -cost)
         start = np.where(pstart[:-1] >= 0, pstart[:-1], i)
         cur, cstart, cgood = np.zeros(width), np.full(width, -1), np.zeros(width, int)
