@@ -188,7 +188,8 @@ def kmeans(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5)
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    v = VectorAssembler(inputCols=columns, outputCol="features").transform(df.na.fill(0.0, columns)).persist()
+    v = VectorAssembler(inputCols=columns, outputCol="features").transform(df.na.fill(0.0, columns))
+    v = cut_lineage(v)  # read once for every k
     n = v.limit(max(ks) + 1).count()
     best, score = v.withColumn("cluster", F.lit(0)), -2.0
     for k in [k for k in ks if k < n]:
@@ -224,12 +225,15 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stratified(df: DataFrame, group: str, order: list[str], groups: int = 30, most: int = 1000) -> DataFrame:
-    """The first rows of the ``groups`` largest groups in equal parts, filled up from the rest in order."""
+    """The first rows of the ``groups`` largest groups in equal parts, filled up from the rest in order; ``order`` tells every row."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), group).limit(groups)
-    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    j = r.join(F.broadcast(sizes.select(group).withColumn("_in", F.lit(1))), group, "left")  # at most ``groups`` rows
-    first = F.when((F.col("_in") == 1) & (F.col("_r") <= most // groups), 0).otherwise(1)
-    return j.withColumn("_f", first).orderBy("_f", *order).limit(most).drop("_r", "_in", "_f")
+    few = df.join(F.broadcast(sizes.select(group)), group)  # at most ``groups`` rows
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_r") <= most // groups)
+    first = ranked.select(*df.columns, F.lit(0).alias("_f"))
+    # of the first rows in order at most ``most`` are among those already: twice as many are enough to fill up
+    rest = df.orderBy(*order).limit(2 * most).withColumn("_f", F.lit(1))
+    both = first.unionByName(rest).withColumn("_k", F.row_number().over(Window.partitionBy(*order).orderBy("_f"))).filter("_k = 1")
+    return both.orderBy("_f", *order).limit(most).drop("_f", "_k")
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -263,7 +267,8 @@ def embedding_clusters(df: DataFrame, vector: str, k: int = 8, seed: int = 42) -
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).persist()
+    v = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    v = cut_lineage(v)  # read by the clusters and by the projection
     c = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v)
     p = PCA(k=2, inputCol="features", outputCol="_p").fit(v).transform(c)
     xy = vector_to_array("_p")

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.mentions import extract
-from quire.operators.segment import context
+from quire.operators.mentions import extract, sentences_around
 
 
 def evidence_rows(sentences: DataFrame, groups: dict[str, list[str]], doc_id: str, index: str, text: str) -> DataFrame:
     """Mentions with the two sentences before and after, the stretch of 50 sentences and a pointer."""
-    s = sentences.select(F.col(doc_id).alias("doc_id"), F.col(index).alias("sent_idx"), F.col(text).alias("sentence_text"),
-                         context(sentences, doc_id, index, text, -2, -1).alias("context_prev"), context(sentences, doc_id, index, text, 1, 2).alias("context_next"))
+    s = sentences_around(sentences, groups, doc_id, index, text, {"context_prev": (-2, -1), "context_next": (1, 2)})
     e = extract(s, groups, "sentence_text")
     return e.withColumns({"doc_position_bucket": F.floor(F.col("sent_idx") / 50).cast("int"), "pointer": F.concat(F.col("doc_id").cast("string"), F.lit("#sent="), F.col("sent_idx").cast("string"))})
 

@@ -41,7 +41,7 @@ def jaccard(sets: DataFrame) -> DataFrame:
     s, p = singles_of(sets), pairs_of(sets)
     x, y = s.toDF("w", "a", "na"), s.toDF("w2", "b", "nb")
     grid = x.join(y, (x.w == y.w2) & (x.a < y.b)).drop("w2").join(p, ["w", "a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return grid.select("w", "a", "b", "n", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))
+    return grid.select("w", "a", "b", "n", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 4).alias("jaccard"))
 
 
 def npmi(sets: DataFrame) -> DataFrame:
@@ -87,7 +87,8 @@ def parsed_interactions(tokens: DataFrame, verbs: dict[str, list[str]], entity:
     A verb's subject and object that are both entities give a high edge; one of them with another
     entity of the sentence a medium one; none present, but two entities, a low one.
     """
-    group = F.create_map(*[x for k, v in verbs.items() for w in v for x in (F.lit(w), F.lit(k))])
+    named = {w: k for k, v in verbs.items() for w in v}  # a verb of several groups belongs to the last
+    group = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
     t = tokens.withColumn("v", F.explode("tokens")).withColumn("type", F.coalesce(group[F.lower("v.lemma")], group[F.lower("v.text")])).filter("type is not null")
     t = t.withColumns({"_s": F.try_element_at(F.filter("tokens", lambda c: (c["head_i"] == F.col("v.i")) & (c["i"] != F.col("v.i")) & c["dep"].isin(["nsubj", "nsubjpass"])), F.lit(-1))["text"],
                        "_o": F.try_element_at(F.filter("tokens", lambda c: (c["head_i"] == F.col("v.i")) & (c["i"] != F.col("v.i")) & c["dep"].isin(["dobj", "pobj", "obj", "iobj"])), F.lit(-1))["text"]})

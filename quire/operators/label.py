@@ -123,6 +123,16 @@ def essentialising(text: Column, forms: Column | None, patterns: list[tuple[str,
     return F.aggregate(F.array(*each), none, lambda best, e: F.when(F.length(e["span"]) > F.length(best["span"]), F.struct(e["pattern"].alias("pattern"), F.left(e["span"], F.lit(120)).alias("span"))).otherwise(best))
 
 
+def corpus_essentialising(hits: DataFrame, doc_id: str, index: str, text: str) -> DataFrame:
+    """(doc_id, sent_idx, ethnos_norm): sentences, noise or not, that say such a thing of a form standing in them.
+
+    ``hits`` are rows of matches (entity, surface); a sentence counts once for an entity.
+    """
+    head, *rest = CORPUS_TABLE.split("{X}")
+    pattern = F.concat(F.lit(head), *[x for r in rest for x in (F.lit("\\Q"), F.col("surface"), F.lit("\\E" + r))])
+    return hits.filter(F.rlike(text, pattern)).select(F.col(doc_id).alias("doc_id"), F.col(index).alias("sent_idx"), F.col("entity").alias("ethnos_norm")).distinct()
+
+
 def first_pattern(text: Column, patterns: list[tuple[str, str]] = TRANSLATOR) -> Column:
     out = F.lit(None).cast("string")
     for name, p in reversed(patterns):

@@ -108,8 +108,16 @@ def evidence_noise(rows: DataFrame, buckets: int = 3) -> DataFrame:
 
 
 def evidence_top_repeats(rows: DataFrame, limit: int = 500) -> DataFrame:
-    r = rows.groupBy("sentence_text_norm").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))), "|").alias("docs"))
-    return r.select(F.left("sentence_text_norm", F.lit(500)).alias("sentence_text_norm"), "n", F.left("docs", F.lit(2000)).alias("docs")).orderBy(F.desc("n"), "sentence_text_norm").limit(limit)
+    """The commonest texts with the documents that have them, up to 2,000 characters of their sorted ids.
+
+    So many characters hold at most 1,000 ids: the smallest 1,001 of every hash bucket are all that is ever collected.
+    """
+    top = rows.groupBy("sentence_text_norm").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sentence_text_norm").limit(limit)
+    ids = rows.select("sentence_text_norm", F.col("doc_id").cast("string").alias("d")).join(F.broadcast(top), "sentence_text_norm").groupBy("sentence_text_norm", "n", "d").agg(F.lit(1).alias("_1"))  # ``limit`` rows
+    w = Window.partitionBy("sentence_text_norm", F.pmod(F.xxhash64("d"), F.lit(32))).orderBy("d")
+    least = ids.withColumn("_r", F.row_number().over(w)).filter("_r <= 1001")
+    docs = least.groupBy("sentence_text_norm", "n").agg(F.left(F.array_join(F.sort_array(F.collect_list("d")), "|"), F.lit(2000)).alias("docs"))
+    return docs.select(F.left("sentence_text_norm", F.lit(500)).alias("sentence_text_norm"), "n", "docs")
 
 
 def translator_noise(text: Column) -> Column:

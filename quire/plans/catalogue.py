@@ -179,8 +179,7 @@ def lemma_mentions(t: Tables) -> DataFrame:
 
 @query(O.RANGE_MENTIONS)
 def range_mentions(t: Tables) -> DataFrame:
-    at = F.regexp_instr("raw_text", F.lit(r"(?i)\btorvak"))
-    hit = t.t("corpus_documents").select(F.col("id").alias("doc_id"), (at - 1).alias("start")).filter("start >= 0")
+    hit = M.text_positions(t.t("corpus_documents"), t.groups, "id", "raw_text")
     s = t.t("sentences").filter("start_char is not null").select("doc_id", "sentence_index", "start_char", "end_char").distinct()
     return M.range_mentions(hit, s)
 
@@ -316,6 +315,17 @@ def pattern_stats(t: Tables) -> DataFrame:
     return t.m.select("ethnos_norm", p.alias("pattern")).filter("pattern is not null").groupBy("ethnos_norm", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(O.PATTERN_STATS_TRANSLATOR)
+def pattern_stats_translator(t: Tables) -> DataFrame:
+    p = B.first_pattern(F.col("sentence_text"), B.TRANSLATOR)
+    return t.m.select("ethnos_norm", p.alias("pattern")).filter("pattern is not null").groupBy("ethnos_norm", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(O.ESSENTIAL_CORPUS)
+def essentialization_corpus(t: Tables) -> DataFrame:
+    return B.corpus_essentialising(M.extract(t.s, t.groups, "sentence_text"), "doc_id", "sent_idx", "sentence_text").groupBy("ethnos_norm").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(O.MARKERS)
 def exotic_markers(t: Tables) -> DataFrame:
     return B.marker_counts(t.m, "ethnos_norm", "context_text", L.REPRESENTATION["exotic"])
@@ -650,7 +660,7 @@ def publisher_filter(t: Tables) -> DataFrame:
 @query(O.FILE_MATCH)
 def publisher_file_match(t: Tables) -> DataFrame:
     files = t.t("corpus_documents").filter("filename is not null")
-    b = t.t("bibliography").groupBy("identifier").agg(*[F.max(c).alias(c) for c in ("creator", "year", "title", "txt_filename")])
+    b = BIB.latest(t.t("bibliography"), "identifier", "harvested_at", ("creator", "year", "title", "txt_filename"))
     return BIB.match_files(b, files, "identifier", "filename")
 
 
@@ -685,7 +695,7 @@ def biblio_enrich(t: Tables) -> DataFrame:
     """Records overridden by their latest harvest."""
     b = t.t("bibliography").select("identifier", "title", "creator", "year", "publisher", "txt_url", "harvested_at")
     fields = ("title", "creator", "year", "publisher", "txt_url")
-    late = b.groupBy("identifier").agg(*[F.max(f).alias(f) for f in fields])
+    late = BIB.latest(b, "identifier", "harvested_at", fields)
     return BIB.enrich(b, late).select("identifier", "harvested_at", "title", "year", "publisher", "txt_url", "volume_sig").distinct()
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire import lexicons as L
-from quire.operators.label import ESSENTIAL_PAST
+from quire.operators.label import CORPUS_TABLE, ESSENTIAL_PAST, TRANSLATOR
 from quire.sources.bibliography import NUMBER, VOLUME
 
 
@@ -75,9 +75,10 @@ MENTION_EXTRACT = f"WITH {_X} SELECT doc_id, sent_idx, entity, surface, count(*)
 MENTIONS_TABLE = f"""WITH {_X}, c AS (SELECT doc_id, sent_idx, string_agg(sentence_text, ' ') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) ctx, count(*) OVER (PARTITION BY doc_id) k FROM s)
 SELECT doc_id, sent_idx, entity ethnos_norm, surface ethnos_raw, k doc_sent_count, count(*) n, md5(max(ctx)) context FROM x JOIN c USING (doc_id, sent_idx) GROUP BY ALL"""
 LEMMA_MENTIONS = f"WITH {_S}, w AS (SELECT unnest({_az('sentence_text')}) l FROM s) SELECT l ethnos_norm, count(*) n FROM w WHERE l IN (SELECT lower(canonical) FROM lexicon_entities) GROUP BY 1"
-RANGE_MENTIONS = r"""WITH h AS (SELECT id doc_id, length(regexp_extract(raw_text, '(?is)^(.*?)\btorvak', 1)) "start" FROM corpus_documents WHERE regexp_matches(raw_text, '(?i)\btorvak')),
+RANGE_MENTIONS = rf"""WITH {_G}, q AS (SELECT id doc_id, c entity, raw_text t, pat, unnest(range(1, 1 + len(regexp_extract_all(raw_text, pat, 1)))) k, regexp_extract_all(raw_text, pat, 1) v, string_split_regex(raw_text, pat) w FROM corpus_documents, g WHERE raw_text IS NOT NULL),
+h AS (SELECT doc_id, entity, v[k] surface, list_sum(list_transform(w[:k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(v[:k - 1], lambda x: length(x))), 0)::BIGINT "start" FROM q),
 p AS (SELECT DISTINCT doc_id, sentence_index, start_char, end_char FROM sentences WHERE start_char IS NOT NULL)
-SELECT h.doc_id, "start", sentence_index FROM h JOIN p ON h.doc_id = p.doc_id AND "start" >= start_char AND "start" < end_char"""
+SELECT h.doc_id, entity, surface, "start", sentence_index FROM h JOIN p ON h.doc_id = p.doc_id AND "start" >= start_char AND "start" < end_char"""
 DOC_SELECTOR = "SELECT id, filename FROM corpus_documents WHERE contains(lower(filename), 'journey_among') OR contains(lower(filename), 'copy_of_') OR contains(lower(filename), '1890')"
 DOC_SENTENCES = "SELECT s.doc_id, filename, s.id, sentence_index FROM sentences s JOIN corpus_documents d ON d.id = s.doc_id"
 FIRST_ENTITY = f"WITH {_X} SELECT doc_id, sent_idx, min(entity) entity FROM x GROUP BY 1, 2"
@@ -178,6 +179,9 @@ _ESS = "es AS (SELECT ethnos_norm, count(*) n FROM (SELECT DISTINCT ethnos_norm,
 ESSENTIAL_TABLE = f"WITH {_LAB}, {_ESS} SELECT * FROM es"
 ESSENTIAL_EXAMPLES = rf"WITH {_LAB} SELECT ethnos_norm, trim(regexp_replace(lower(sentence_text), '\s+', ' ', 'g')) norm, min(mention_id) mention_id FROM lab WHERE is_essentializing GROUP BY 1, 2"
 _first = "CASE " + " ".join(f"WHEN regexp_matches(sentence_text, '(?i){p}') THEN '{n}'" for n, p in ESSENTIAL_PAST) + " END"
+_tr = "CASE " + " ".join(f"WHEN regexp_matches(sentence_text, '(?i){p}') THEN '{n}'" for n, p in TRANSLATOR) + " END"
+PATTERN_STATS_TRANSLATOR = f"WITH {_M}, p AS (SELECT ethnos_norm, {_tr} pattern FROM m) SELECT ethnos_norm, pattern, count(*) n FROM p WHERE pattern IS NOT NULL GROUP BY 1, 2"
+ESSENTIAL_CORPUS = f"WITH {_X} SELECT entity ethnos_norm, count(*) n FROM (SELECT DISTINCT doc_id, sent_idx, entity FROM x WHERE regexp_matches(sentence_text, replace('{CORPUS_TABLE}', '{{X}}', surface))) GROUP BY 1"
 PATTERN_STATS = f"WITH {_M}, p AS (SELECT ethnos_norm, {_first} pattern FROM m) SELECT ethnos_norm, pattern, count(*) n FROM p WHERE pattern IS NOT NULL GROUP BY 1, 2"
 
 
@@ -269,7 +273,7 @@ pr AS (SELECT a.w, a.entity a, b.entity b, count(*) n FROM st a JOIN st b ON a.w
 
 
 COMENTION = f"WITH {_sets(2)} SELECT a, b, n FROM pr"
-JACCARD = f"WITH {_sets(2)} SELECT x.entity a, y.entity b, coalesce(n, 0) n, coalesce(n, 0) / (x.k + y.k - coalesce(n, 0)) jaccard FROM sg x JOIN sg y ON x.entity < y.entity LEFT JOIN pr ON pr.a = x.entity AND pr.b = y.entity"
+JACCARD = f"WITH {_sets(2)} SELECT x.entity a, y.entity b, coalesce(n, 0) n, round(coalesce(n, 0) / (x.k + y.k - coalesce(n, 0)), 4) jaccard FROM sg x JOIN sg y ON x.entity < y.entity LEFT JOIN pr ON pr.a = x.entity AND pr.b = y.entity"
 NPMI = f"WITH {_sets(2)}, tt AS (SELECT count(*) t FROM s) SELECT a, b, n, round(CASE WHEN n = t THEN 0.0 ELSE log2(n * t / (x.k * y.k)::DOUBLE) / -log2(n / t::DOUBLE) END, 9)::DOUBLE npmi FROM pr JOIN sg x ON x.entity = a JOIN sg y ON y.entity = b, tt"
 SENSITIVITY = f"""WITH {_sets(1, 2, 3)}, r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, a, b) r FROM pr), t AS (SELECT * FROM r WHERE r <= 30), q AS (SELECT a, b FROM t WHERE w = 2)
 SELECT t.w::INT w, (SELECT count(*) FROM pr p WHERE p.w = t.w) edges, count(q.a) overlap, count(q.a) / greatest(least(count(*), (SELECT count(*) FROM q)), 1) ratio FROM t LEFT JOIN q USING (a, b) GROUP BY t.w"""
@@ -315,7 +319,8 @@ SELECT identifier, harvested_at FROM r WHERE r = 1"""
 BIBLIO_YEARS = 'WITH r AS (SELECT identifier, "year", harvested_at, row_number() OVER (PARTITION BY identifier ORDER BY harvested_at) r FROM bibliography WHERE "year" BETWEEN 1850 AND 1900) SELECT identifier, "year", harvested_at FROM r WHERE r = 1'
 PUBLISHERS = "SELECT DISTINCT identifier, publisher FROM bibliography WHERE trim(coalesce(publisher, '')) = '' OR regexp_matches(lower(publisher), 'eastport|merrow')"
 _flat = lambda x: rf"regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
-FILE_MATCH = rf"""WITH b AS (SELECT identifier, max(creator) creator, max("year") "year", max(title) title, max(txt_filename) txt_filename FROM bibliography GROUP BY 1), f AS (SELECT DISTINCT filename FROM corpus_documents WHERE filename IS NOT NULL),
+_latest = lambda *f: "row_number() OVER (PARTITION BY identifier ORDER BY harvested_at DESC, " + ", ".join(f"coalesce({x}::VARCHAR, '') DESC" for x in f) + ") = 1"
+FILE_MATCH = rf"""WITH b AS (SELECT identifier, creator, "year", title, txt_filename FROM bibliography QUALIFY {_latest('creator', '"year"', 'title', 'txt_filename')}), f AS (SELECT DISTINCT filename FROM corpus_documents WHERE filename IS NOT NULL),
 n AS (SELECT identifier, filename file_name FROM b JOIN f ON txt_filename = filename AND txt_filename <> ''),
 o AS (SELECT identifier, min(filename) file_name FROM b JOIN f ON coalesce(txt_filename, '') = '' AND "year"::VARCHAR = regexp_extract(filename, '_([0-9]{{4}})_', 1) AND {_flat(_sur)} = {_flat("regexp_extract(filename, '^([^_]*)_', 1)")}
   AND contains({_flat(r"regexp_replace(filename, '\.txt$', '')")}, left({_flat('title')}, 40)) GROUP BY 1)
@@ -323,7 +328,7 @@ SELECT * FROM n UNION ALL SELECT * FROM o"""
 _san = lambda x: rf"left(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '[^\p{{L}}\p{{N}} _-]', '', 'g'), '[\s-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80)"
 FILE_NAMES_OUT = f"""SELECT DISTINCT identifier, left(concat_ws('_', nullif({_san(_sur)}, ''), "year"::VARCHAR, nullif({_san('title')}, ''), nullif(coalesce(volume_sig, ''), '')), 196) || '.txt' file_name FROM bibliography"""
 _sig_title = "CASE " + " ".join(f"WHEN regexp_extract(lower(title), '{p}', 1) <> '' THEN '{k}' || " + _num(f"regexp_extract(lower(title), '{p}', 1)") for k, p in VOLUME) + " ELSE '' END"
-ENRICH = f"""WITH l AS (SELECT identifier, max(title) title, max("year") "year", max(publisher) publisher, max(txt_url) txt_url FROM bibliography GROUP BY 1),
+ENRICH = f"""WITH l AS (SELECT identifier, title, creator, "year", publisher, txt_url FROM bibliography QUALIFY {_latest('title', 'creator', '"year"', 'publisher', 'txt_url')}),
 j AS (SELECT DISTINCT b.identifier, harvested_at, coalesce(l.title, b.title) title, coalesce(l."year", b."year") "year", coalesce(l.publisher, b.publisher) publisher, coalesce(l.txt_url, b.txt_url) txt_url FROM bibliography b LEFT JOIN l ON l.identifier = b.identifier)
 SELECT *, {_sig_title} volume_sig FROM j WHERE coalesce(txt_url, '') <> ''"""
 MIRROR = f"WITH {_sets(2)} SELECT a, b, n FROM pr UNION ALL SELECT b, a, n FROM pr"

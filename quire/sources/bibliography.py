@@ -57,6 +57,12 @@ def in_years(items: DataFrame, low: int = 1850, high: int = 1917, order: list[st
     return items.filter(F.col("year").between(low, high)).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def latest(items: DataFrame, key: str, order: str, fields: tuple[str, ...]) -> DataFrame:
+    """Each key's newest record as a whole (fields of several harvests are never mixed); ties by the fields' values."""
+    ties = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    return items.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(F.col(order), *ties)).alias("_l")).select(key, "_l.*")
+
+
 def enrich(items: DataFrame, metadata: DataFrame) -> DataFrame:
     """Fields overridden by item metadata where it has them; records without a text file are left out."""
     fields = ("title", "creator", "year", "publisher", "txt_url")
@@ -80,14 +86,16 @@ def publisher_kept(publisher: Column, places: tuple[str, ...] = ("london", "pari
     return (p == "") | p.rlike("|".join(places))
 
 
-def match_files(items: DataFrame, files: DataFrame, key: str, file: str) -> DataFrame:
-    """Records joined to files: by their own file name, else by year, surname and title within the name.
+def match_files(items: DataFrame, files: DataFrame, key: str, file: str, prefix: int = 40) -> DataFrame:
+    """Records joined to files: by their own file name, else by year, surname and the title's prefix within the name.
+
+    The prefix, of ``prefix`` letters and digits, is what file names keep of a title.
 
     The second way joins on (year, surname), both taken from the file's name, and only then compares titles.
     """
     flat = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]", "")
     named = items.filter("coalesce(txt_filename, '') <> ''").join(files.select(F.col(file).alias("txt_filename")).distinct(), "txt_filename").select(key, F.col("txt_filename").alias("file_name"))
     f = files.select(F.col(file).alias("file_name"), F.regexp_extract(file, r"_([0-9]{4})_", 1).alias("_y"), flat(F.regexp_extract(file, r"^([^_]*)_", 1)).alias("_s"), flat(F.regexp_replace(F.col(file), r"\.txt$", "")).alias("_f"))
-    i = items.filter("coalesce(txt_filename, '') = ''").select(key, F.col("year").cast("string").alias("_y"), flat(surname(F.col("creator"))).alias("_s"), F.left(flat(F.col("title")), F.lit(40)).alias("_t"))
+    i = items.filter("coalesce(txt_filename, '') = ''").select(key, F.col("year").cast("string").alias("_y"), flat(surname(F.col("creator"))).alias("_s"), F.left(flat(F.col("title")), F.lit(prefix)).alias("_t"))
     other = i.join(f, ["_y", "_s"]).filter("contains(_f, _t)").groupBy(key).agg(F.min("file_name").alias("file_name"))
     return named.unionByName(other)

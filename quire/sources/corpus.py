@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,12 @@ def file_metadata(file_name: Column) -> Column:
 
 
 def write_store(stages: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table per stage and a manifest; the manifest comes last, so a broken run has none."""
+    """One Parquet table per stage and a manifest; the old manifest goes first and the new one comes last, so a broken run has none."""
+    spark = next(iter(stages.values())).sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     for name, df in stages.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark = next(iter(stages.values())).sparkSession
     note = json.dumps({"version": STORE_VERSION, "stages": sorted(stages)})
     spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_manifest")
 
@@ -46,7 +49,7 @@ def read_store(spark: SparkSession, folder: str, required: tuple[str, ...] = ())
         if note["version"] != STORE_VERSION or set(required) - set(note["stages"]):
             return None
         return {s: spark.read.parquet(f"{folder}/{s}") for s in note["stages"]}
-    except Exception:  # noqa: BLE001 - any unreadable store counts as missing
+    except (AnalysisException, ValueError, KeyError, TypeError):  # no such path, or no manifest of this kind; other errors are the caller's
         return None
 
 
