@@ -159,7 +159,7 @@ def contingency(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     dof = (F.col("r") - 1) * (F.col("k") - 1)
     chi = F.when((dof == 1) & F.lit(yates), F.col("y")).otherwise(F.col("x"))
     v = F.when((F.least("r", "k") > 1) & (F.col("n") > 0), F.sqrt(chi / (F.col("n") * (F.least("r", "k") - 1))))
-    return s.select(chi.alias("chi2"), dof.alias("dof"), v.alias("cramers_v"), F.col("low_expected"), F.col("n"))
+    return s.select(chi.alias("chi2"), dof.alias("dof"), v.alias("cramers_v"), F.col("low_expected"), F.col("n"), (F.col("r") * F.col("k")).alias("cells"))
 
 
 def correlations(df: DataFrame, columns: list[str], ranks: bool = False) -> DataFrame:

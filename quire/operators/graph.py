@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.mentions import entity_matches
+from quire.operators.mentions import entity_matches, positions
 from quire.session import cut_lineage
 
 
@@ -68,17 +68,17 @@ def plain_interactions(sentences: DataFrame, groups: dict[str, list[str]], verbs
     with a verb of a group, of low confidence, once per verb group."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), F.lit(0))
     kinds = F.filter(F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, v))), F.lit(k)) for k, v in sorted(verbs.items())]), lambda x: x.isNotNull())
-    found = F.transform(F.filter(entity_positions(F.col(text), groups), lambda m: m["at"] > 0), lambda m: m)
-    s = sentences.filter(fit).select(F.col(doc_id).alias("doc_id"), F.col(index).alias("sent_idx"), F.col(text).alias("sentence_text"), F.explode(kinds).alias("type"), F.array_sort(found).alias("m"))
+    s = sentences.filter(fit).select(F.col(doc_id).alias("doc_id"), F.col(index).alias("sent_idx"), F.col(text).alias("sentence_text"), F.explode(kinds).alias("type"), entity_order(F.col(text), groups).alias("m"))
     s = s.filter(F.size("m") >= 2)
-    return s.select("doc_id", "sent_idx", F.get("m", F.lit(0))["entity"].alias("src"), F.get("m", F.lit(1))["entity"].alias("dst"), "type", F.lit("low").alias("confidence"), F.left("sentence_text", F.lit(300)).alias("quote"))
+    return s.select("doc_id", "sent_idx", F.get("m", F.lit(0)).alias("src"), F.get("m", F.lit(1)).alias("dst"), "type", F.lit("low").alias("confidence"), F.left("sentence_text", F.lit(300)).alias("quote"))
 
 
-def entity_positions(text: Column, groups: dict[str, list[str]]) -> Column:
-    """array<struct<at, entity>>: where each canonical's first form stands (1-based; 0 if it does not)."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    each = [F.struct(F.regexp_instr(low, F.lit(r"\b(" + "|".join(f.lower() for f in forms) + r")\b")).alias("at"), F.lit(k).alias("entity")) for k, forms in groups.items()]
-    return F.array(*each)
+def entity_order(text: Column, groups: dict[str, list[str]]) -> Column:
+    """array<string>: the entities of a text in the order of their first places, ties by name."""
+    places = positions(F.lower(F.coalesce(text, F.lit(""))), groups)
+    if places is None:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.transform(F.array_sort(F.transform(places, lambda m: F.named_struct(F.lit("start"), m["start"], F.lit("entity"), m["entity"]))), lambda m: m["entity"]))
 
 
 def parsed_interactions(tokens: DataFrame, verbs: dict[str, list[str]], entity: Column | None = None) -> DataFrame:
@@ -162,13 +162,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 40) -> DataF
     return rank.select("node", "rank")
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 20_000) -> DataFrame:
-    """Normalised betweenness with weights as distances. The graph's nodes are the lexicon's entities; a larger one is refused."""
-    e = edges.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("n"))
-    if e.select(F.explode(F.array("src", "dst")).alias("x")).distinct().limit(most_nodes + 1).count() > most_nodes:
-        raise ValueError(f"betweenness is for graphs of at most {most_nodes} nodes")
+def betweenness(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """Normalised betweenness with weights as distances.
 
-    def brandes(b: pd.DataFrame) -> pd.DataFrame:
+    The nodes are the lexicon's entities, so every task can hold the whole graph (a larger one is
+    an error); the searches, one from every node, are shared out among the tasks and summed.
+    """
+    e = cut_lineage(edges.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("n")))
+    if e.limit(most_edges + 1).count() > most_edges:
+        raise ValueError(f"betweenness is for graphs of at most {most_edges} edges")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def brandes(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
         names = sorted(set(b["src"]) | set(b["dst"]))
@@ -176,7 +181,7 @@ def betweenness(edges: DataFrame, most_nodes: int = 20_000) -> DataFrame:
         for s, d, n in zip(b["src"], b["dst"], b["n"]):
             near[s].append((d, n))
         score = dict.fromkeys(names, 0.0)
-        for s in names:
+        for s in names[key[0] :: parts]:
             dist, paths, back, done, heap = {s: 0.0}, {s: 1.0}, {v: [] for v in names}, [], [(0.0, s)]
             closed = set()
             while heap:
@@ -203,7 +208,8 @@ def betweenness(edges: DataFrame, most_nodes: int = 20_000) -> DataFrame:
         f = 1.0 / ((k - 1) * (k - 2)) if k > 2 else 1.0
         return pd.DataFrame({"node": names, "betweenness": [score[v] * f for v in names]})
 
-    return e.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda b: brandes(b), "node string, betweenness double")
+    shared = e.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("_g").applyInPandas(brandes, "node string, betweenness double")
+    return shared.groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
 
 
 def edge_stability(hits: DataFrame, resamples: int = 50, top: int = 20, least: int = 2, confidences: tuple[str, ...] = ("high", "medium"), seed: int = 42) -> DataFrame:

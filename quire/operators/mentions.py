@@ -79,20 +79,36 @@ def extract(sentences: DataFrame, groups: dict[str, list[str]], text: str) -> Da
     return some.withColumn("_m", F.explode(entity_matches(F.col(text), groups))).select("*", "_m.entity", "_m.surface").drop("_m")
 
 
-def text_positions(documents: DataFrame, groups: dict[str, list[str]], doc_id: str, text: str) -> DataFrame:
-    """(doc_id, entity, surface, start): every match in whole texts with its place, counted from 0.
+def positions(text: Column, groups: dict[str, list[str]]) -> Column | None:
+    """array<struct<entity, surface, start>> of every match, counted from 0; None without forms.
 
     A match's place is the length of what the pattern splits off before it and of earlier matches.
     """
-    out = None
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + F.length(y))
+    each = []
     for layer in layers(groups):
         p, named = _pattern(layer), _named(layer)
-        d = documents.filter(F.col(text).rlike(p)).select(F.col(doc_id).alias("doc_id"), F.split(text, p, -1).alias("_w"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("_v"))
-        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + F.length(y))
-        place = F.transform("_v", lambda v, i: F.struct(named(v)["entity"].alias("entity"), v.alias("surface"), (total(F.slice("_w", F.lit(1), i + 1)) + total(F.slice("_v", F.lit(1), i))).alias("start")))
-        one = d.select("doc_id", F.inline(place))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else documents.limit(0).select(F.col(doc_id).alias("doc_id"), F.lit("").alias("entity"), F.lit("").alias("surface"), F.lit(0).alias("start"))
+        between, found = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(1))
+
+        def place(v: Column, i: Column, named=named, between=between, found=found) -> Column:
+            start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+            return F.named_struct(F.lit("entity"), named(v)["entity"], F.lit("surface"), v, F.lit("start"), start)
+
+        each.append(F.transform(found, _two(place)))
+    return F.flatten(F.array(*each)) if each else None
+
+
+def _two(f):
+    """A function of exactly a value and its index, as array transformations want."""
+    return lambda v, i: f(v, i)
+
+
+def text_positions(documents: DataFrame, groups: dict[str, list[str]], doc_id: str, text: str) -> DataFrame:
+    """(doc_id, entity, surface, start): every match in whole texts with its place, counted from 0."""
+    places = positions(F.col(text), groups)
+    if places is None:
+        return documents.limit(0).select(F.col(doc_id).alias("doc_id"), F.lit("").alias("entity"), F.lit("").alias("surface"), F.lit(0).alias("start"))
+    return documents.filter(F.col(text).rlike(_any_form(groups))).select(F.col(doc_id).alias("doc_id"), F.inline(places))
 
 
 def sentences_around(sentences: DataFrame, groups: dict[str, list[str]], doc_id: str, index: str, text: str, windows: dict[str, tuple[int, int]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import lexicons as L
+from quire.functions import stats as ST
 from quire.functions import text as T
 from quire.operators import aggregates as A
 from quire.operators import evidence as E
@@ -466,6 +467,39 @@ def correlations_spearman(t: Tables) -> DataFrame:
     return A.correlations(p, ["mentions", "oi", "eps", "ed", "agency"], ranks=True).select("x", "y", F.round("r", 6).alias("r"))
 
 
+@query()
+def chi2_tests(t: Tables) -> DataFrame:
+    """Both contingency tests with p value and whether at most a fifth of the cells is expected below five."""
+    out = None
+    for label in ("r_label", "o_label"):
+        c = A.contingency(t.clean, "ethnos_norm", label)
+        one = c.select(F.lit(label).alias("label"), "chi2", "dof", "cramers_v", ST.chi2_p(F.col("chi2"), F.col("dof")).alias("p_value"), (F.col("low_expected") * 5 <= F.col("cells")).alias("reliable"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query()
+def correlation_tests(t: Tables) -> DataFrame:
+    """Pearson and Spearman coefficients of the profiles with their p values."""
+    p = t.profiles.select("ethnos_norm", "mentions", *[F.round(c, 9).alias(c) for c in ("oi", "eps", "ed", "agency")])
+    names = ["mentions", "oi", "eps", "ed", "agency"]
+    n = p.agg(F.count(F.lit(1)).alias("n"))  # one row
+    both = A.correlations(p, names).withColumn("kind", F.lit("pearson")).unionByName(A.correlations(p, names, ranks=True).withColumn("kind", F.lit("spearman")))
+    return both.crossJoin(F.broadcast(n)).select("kind", "x", "y", "r", ST.correlation_p(F.col("r"), F.col("n")).alias("p_value"))
+
+
+@query(O.RANKING_ED)
+def profile_rankings_ed(t: Tables) -> DataFrame:
+    return t.profiles.select("ethnos_norm", F.round("ed", 9).alias("ed")).orderBy(F.desc(F.coalesce("ed", F.lit(0.0))), "ethnos_norm").limit(15)
+
+
+@query()
+def bootstrap_ed(t: Tables) -> DataFrame:
+    """Interval of the share of mentions with an essentialising phrase."""
+    x = t.clean.withColumn("hit", F.col("is_essentializing").cast("int"))
+    return A.bootstrap_mean(x, "ethnos_norm", "hit", "mention_id", resamples=500)
+
+
 @query(O.PURITY)
 def cluster_purity(t: Tables) -> DataFrame:
     e = t.t("embeddings").withColumn("cluster", (F.col("vec_id") % 7 - 1).cast("int"))

@@ -240,6 +240,8 @@ PROFILES = f"WITH {_PR} SELECT ethnos_norm, mentions, {_r9} FROM pb"
 DELTAS = f"WITH {_PR} SELECT ethnos_norm, " + ", ".join(f"round({c} - (SELECT sum({c} * mentions) / sum(mentions) FROM pb), 6) {c}_delta" for c in ("oi", "eps", "ed", "agency")) + " FROM pb"
 RANKING = f"WITH {_LAB}, a AS (SELECT ethnos_norm, avg((r_label IN ('negative', 'exotic'))::INT) oi FROM cl GROUP BY 1) SELECT * FROM a ORDER BY coalesce(oi, 0) DESC, ethnos_norm LIMIT 15"
 
+RANKING_ED = f"WITH {_PR} SELECT ethnos_norm, round(ed, 9) ed FROM pb ORDER BY coalesce(round(ed, 9), 0) DESC, ethnos_norm LIMIT 15"
+
 
 def chi2(column: str) -> str:
     return f"""WITH {_LAB}, c AS (SELECT ethnos_norm a, {column} b, count(*) o FROM cl WHERE ethnos_norm IS NOT NULL GROUP BY 1, 2), ra AS (SELECT a, sum(o) na FROM c GROUP BY 1), rb AS (SELECT b, sum(o) nb FROM c GROUP BY 1), t AS (SELECT sum(o) n FROM c),

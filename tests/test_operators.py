@@ -290,3 +290,76 @@ def test_no_form_is_left_out(spark):
     with pytest.raises(ValueError, match="forms"):
         M.groups_of(lex)
     assert len(M.groups_of(lex.limit(100_000))["a"]) == 100_000
+
+
+def test_tails_of_known_distributions():
+    from quire.functions.stats import chi2_tail, t_tails
+
+    assert abs(chi2_tail(3.841458820694124, 1) - 0.05) < 1e-9 and abs(chi2_tail(18.307038053275146, 10) - 0.05) < 1e-9 and chi2_tail(0, 3) == 1.0
+    assert abs(chi2_tail(7.0, 2) - 2.718281828459045**-3.5) < 1e-12
+    assert abs(t_tails(2.2281388519649385, 10) - 0.05) < 1e-9 and abs(t_tails(1.0, 1) - 0.5) < 1e-9 and t_tails(0, 5) == 1.0
+    for t in (0.05, 0.4, 1.7, 6.0):
+        assert abs(t_tails(t, 2) - (1 - t / math.sqrt(2 + t * t))) < 1e-12  # closed form of two degrees of freedom
+        density = lambda u: math.gamma(15.5) / (math.sqrt(30 * math.pi) * math.gamma(15)) * (1 + u * u / 30) ** -15.5
+        steps = 2000
+        inside = sum((1 if i in (0, steps) else 4 if i % 2 else 2) * density(t * i / steps) for i in range(steps + 1)) * t / steps / 3
+        assert abs(t_tails(t, 30) - (1 - 2 * inside)) < 1e-9
+
+
+def test_forms_in_layers_are_found_as_one_by_one(spark):
+    from quire.operators import mentions as M
+
+    groups = {"marsh oldani": ["marsh oldani", "old marsh"], "oldani": ["oldani", "oldanee"], "ai": ["bashan-ai"], "bashan": ["bashan"]}
+    assert len(M.layers(groups)) == 2
+    df = spark.createDataFrame([(1, "The Marsh Oldani met Oldani, an old marsh oldanee and Bashan-ai."), (2, None), (3, "")], "doc_id long, t string")
+    got = sorted((r["entity"], r["surface"]) for r in M.extract(df, groups, "t").collect())
+    want = sorted([("marsh oldani", "Marsh Oldani"), ("marsh oldani", "old marsh"), ("oldani", "Oldani"), ("oldani", "Oldani"), ("oldani", "oldanee"), ("ai", "Bashan-ai"), ("bashan", "Bashan")])
+    assert got == want
+    text = df.first()["t"]
+    places = M.text_positions(df, groups, "doc_id", "t").collect()
+    assert len(places) == 7 and all(text[r["start"] : r["start"] + len(r["surface"])] == r["surface"] for r in places)
+    assert M.extract(df, {}, "t").count() == 0 and M.text_positions(df, {}, "doc_id", "t").count() == 0
+
+
+def test_betweenness_of_a_path_and_a_star(spark):
+    from quire.operators.graph import betweenness
+
+    df = spark.createDataFrame([(a, b, 1) for a, b in ("ab", "bc", "cd", "ba", "cb", "dc")], "src string, dst string, n int")
+    assert {r["node"]: round(r["betweenness"], 6) for r in betweenness(df).collect()} == {"a": 0.0, "b": round(4 / 6, 6), "c": round(4 / 6, 6), "d": 0.0}
+    assert betweenness(df.limit(0)).count() == 0
+
+
+def test_latest_harvest_is_taken_whole(spark):
+    from quire.sources.bibliography import latest
+
+    df = spark.createDataFrame([("x", 1, "Zeta", "b"), ("x", 2, "Alpha", None)], "identifier string, harvested_at int, title string, publisher string")
+    assert [tuple(r) for r in latest(df, "identifier", "harvested_at", ("title", "publisher")).collect()] == [("x", "Alpha", None)]
+
+
+def test_a_broken_store_has_no_manifest(spark, tmp_path):
+    from quire.sources.corpus import read_store, write_store
+
+    good, at = spark.range(3).toDF("id"), str(tmp_path / "store")
+    write_store({"a": good}, at)
+    assert read_store(spark, at)["a"].count() == 3
+    with pytest.raises(Exception):
+        write_store({"a": good, "b": good.selectExpr("raise_error('broken') x")}, at)
+    assert read_store(spark, at) is None and read_store(spark, str(tmp_path / "none")) is None
+
+
+def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quire import session
+
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none", master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        session.shared_folder(fake)
+
+
+def test_repeats_keep_the_smallest_ids(spark):
+    from quire.operators.noise import evidence_top_repeats
+
+    df = spark.createDataFrame([(i, "line") for i in range(3000)] + [(1, "other")], "doc_id long, sentence_text_norm string")
+    got = {r["sentence_text_norm"]: r for r in evidence_top_repeats(df).collect()}
+    assert got["line"]["n"] == 3000 and got["line"]["docs"] == "|".join(sorted(map(str, range(3000))))[:2000] and got["other"]["docs"] == "1"
