@@ -16,6 +16,7 @@ from functools import cache
 from itertools import count
 
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -393,8 +394,11 @@ def furniture(lines: list[str], filename: str | None) -> dict[int, str]:
     return kinds
 
 
-def inspect(text: str, filename: str | None, lex: Lexicon) -> list[tuple[int, str, str]]:
-    """(line number, kind, correction) of all disturbed lines."""
+def inspect(text: str, filename: str | None, lex: Lexicon, every: bool = False) -> list[tuple[int, str, str]]:
+    """(line number, kind, correction) of all disturbed lines; with ``every`` of each misread word, else of a line's first.
+
+    A word broken at a line's end is searched as a whole, in the same way as any other.
+    """
     lines = [x.rstrip("\r") for x in text.split("\n")]
     kinds = furniture(lines, filename)
     out = [(i, k, "") for i, k in kinds.items()]
@@ -426,13 +430,48 @@ def inspect(text: str, filename: str | None, lex: Lexicon) -> list[tuple[int, st
             volume.append(Trie(sorted(own | set(names))))
         return [v for v in volume[0].within(w, 2) if confusable(v, w) >= 0]
 
+    def tokens(i: int) -> list[tuple[str, int, int]]:
+        return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(lines[i])]
+
+    def checked(part: str, sides: tuple[str, str], broken: bool = False) -> str | None:
+        """'seen=true' of a word misread by shapes, a letter too many or a blank too few; '' of a known one, None of an unknown one.
+
+        A broken word is not taken for a name and another word: its halves stand among the names.
+        """
+        low = part.lower()
+        triple = _TRIPLE.search(low)
+        if triple and not _ROMAN.match(low) and low not in lex.known and low not in own:
+            forms = (_TRIPLE.sub(r"\1", low), _TRIPLE.sub(r"\1\1", low))
+            c = next((v for v in forms if lex.is_known(v) or v in own or v in names), None)
+            right = c or lex.correction(low)
+            return f"{part}={right or forms[0]}" if c or triple.group(1) not in lex.tripled or not part[0].isupper() and right else ""
+        if _MIXED.search(part) and not re.match(r"Ma?c[A-Z]", part):
+            return f"{part}="
+        if lex.is_known(low) or low in own or _ROMAN.match(low):
+            return ""
+        if part[0].isupper() and not part.isupper():
+            c = lex.correction(low, False, *sides) if words[low] == names[low] else None
+            if (c is None or c not in lex.common) and len(low) > 3 and names[low] < 3:
+                c = lex.best([x for x in lex.candidates(low) if x[0] < 1 and x[1] in lex.known], *sides)
+                c = c or next((u for u in own_shapes(low) if u in names and (names[u] > names[low] or names[u] == names[low] and lex.likelier(u, low))), None)
+            elif c not in lex.common:
+                c = None
+            if c is None:
+                c = lex.run_together(low, set() if broken else own | set(names), capital=True)
+        else:
+            c = lex.correction(low, True, *sides) or lex.run_together(low, set() if broken else own)
+            if c is None and len(low) > 4:
+                c = next((u for u in own_shapes(low) if u in own), None)
+        return f"{part}={c}" if c else None
+
+    begins = {b: b - a > 1 or bool(_STARTS.search(lines[a].rstrip())) for a, b in zip(body, body[1:])}
     marked = any(lines[i].rstrip()[-1:] in "‐‑¬\xad" or lines[i][-2:] == "- " for i in body)
     fragment: dict[int, tuple[bool, bool]] = {}
     for a, b in zip(body, body[1:]):
         s = lines[a].rstrip()
         if len(s) < 2 or s[-1] not in _BREAK or not s[-2].isalpha():
             continue
-        left, right = s[:-1].split()[-1], lines[b].split()[0]
+        left, right = _TOKEN.findall(s[:-1])[-1], lines[b].split()[0]
         tail = right.strip(_STRIP)
         if not tail[:1].isalpha() or tail[0].isupper() and not left.isupper():
             continue
@@ -452,24 +491,26 @@ def inspect(text: str, filename: str | None, lex: Lexicon) -> list[tuple[int, st
         out.append((a, "hyphen", joined))
         fragment[a] = fragment.get(a, (False, False))[0], True
         fragment[b] = True, fragment.get(b, (False, False))[1]
-        j = joined
-        if not lex.is_known(j) and words[j] == 0 and len(j) > 3 and "-" not in stem:
-            c = lex.correction(j) if j.isalpha() and not stem[:1].isupper() else next((n for n in own_shapes(j) if n in own), None)
-            if c or _TRIPLE.search(j):
-                at = max(confusable(c, j), 0) if c and confusable(c, j) >= 0 else (_TRIPLE.search(j) or re.search("$", j)).start()
-                out.append((a if at < len(stem) else b, "misread", f"{j}={c or ''}"))
-    begins = {b: b - a > 1 or bool(_STARTS.search(lines[a].rstrip())) for a, b in zip(body, body[1:])}
+        whole = _base(stem.rsplit("-", 1)[-1] + rest.split("-")[0])
+        if len(whole) > 3 and whole.isalpha():
+            toks = tokens(a)
+            sides = _beside(toks, len(toks) - 1)[0], _beside(tokens(b), 0)[1]
+            note = checked(whole, sides, True)
+            if note is None:
+                note = _other_error([(whole, len(toks) - 1, *sides)], [*toks[:-1], (whole, *toks[-1][1:])], begins.get(a, True), words, names, lex)
+            if note:
+                seen, _, c = note.partition("=")
+                seen = seen.lower()
+                at = max(confusable(c, seen), 0) if c and confusable(c, seen) >= 0 else (_TRIPLE.search(seen) or re.search("$", seen)).start()
+                out.append((a if at < len(stem) else b, "misread", note))
     for i in body:
-        toks = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(lines[i])]
+        toks = tokens(i)
         first, last = fragment.get(i, (False, False))
-        found = ""
+        found: dict[int, list[str]] = {}  # by token
+        apart: set[int] = set()
         cores = []
         unknown: list[tuple[str, int]] = []
 
-        def beside(k: int, toks: list = toks) -> tuple[str, str]:
-            """The words on both sides of a token of this line."""
-            return (toks[k - 1][0].strip(_STRIP).lower() if k else ""), (toks[k + 1][0].strip(_STRIP).lower() if k + 1 < len(toks) else "")
-
         for k, (raw, s, e) in enumerate(toks):
             plain = lex.plain.get(raw)
             if plain is None:
@@ -481,82 +522,65 @@ def inspect(text: str, filename: str | None, lex: Lexicon) -> list[tuple[int, st
                 cores.append(plain)
                 continue
             core = raw.strip(_STRIP)
-            base = re.split(r"['’]", core)[0] if re.search(r"['’]s?$|['’]\w{1,2}$", core) else core
+            base = _base(core)
             cores.append(base)
             if not base or not any(c.isalpha() for c in base):
                 if _INNER.search(raw.strip(".,;:()“”‘’\"'")):
-                    found = found or raw
+                    found[k] = [raw]
                 continue
-            edge = k == 0 and first or k == len(toks) - 1 and last
             inner = raw.strip(".,;:?()[]“”‘’\"'„«»*…").rstrip("!")
             if _INNER.search(inner) or any(c.isdigit() for c in base) and not _ORDINAL.match(base) and not re.fullmatch(r"[A-Za-z]{0,3}\d+[a-z]?", base) or re.search(r"[^\W\d_]\d|\d[^\W\d_]{3,}", base) and not _ORDINAL.match(base):
                 low = base.lower()
                 bare = re.sub(r"[|~^*\\/_=+<>@#$%&{}\[\]]", "", low)
-                if not found:
-                    shapes = [x for x in lex.candidates(low) if x[0] < 1]
-                    found = f"{base}=" + (bare if bare != low and (lex.is_known(bare) or bare in own) else lex.best(shapes, *beside(k)) or next(iter(own_shapes(low)), ""))
+                shapes = [x for x in lex.candidates(low) if x[0] < 1]
+                found[k] = [f"{base}=" + (bare if bare != low and (lex.is_known(bare) or bare in own) else lex.best(shapes, *_beside(toks, k)) or next(iter(own_shapes(low)), ""))]
                 continue
-            for part in re.split(r"[-./]", base):
-                low = part.lower()
-                if len(low) < 2 or not part.isalpha():
-                    continue
-                triple = _TRIPLE.search(low)
-                if triple and not _ROMAN.match(low) and low not in lex.known and low not in own:
-                    forms = (_TRIPLE.sub(r"\1", low), _TRIPLE.sub(r"\1\1", low))
-                    c = next((v for v in forms if lex.is_known(v) or v in own or v in names), None)
-                    if c or triple.group(1) not in lex.tripled or not part[0].isupper() and lex.correction(low):
-                        found = found or f"{part}={c or lex.correction(low) or forms[0]}"
-                elif edge:
-                    continue
-                elif _MIXED.search(part) and not re.match(r"Ma?c[A-Z]", part):
-                    found = found or f"{part}="
-                elif lex.is_known(low) or low in own or _ROMAN.match(low):
+            parts = re.split(r"[-./]", base)
+            for n, part in enumerate(parts):
+                # what is broken at the line's end has been searched as a whole
+                broken = k == 0 and first and n == 0 or k == len(toks) - 1 and last and n == len(parts) - 1
+                if len(part) < 2 or not part.isalpha() or broken and not _TRIPLE.search(part.lower()):
                     continue
-                elif part[0].isupper() and not part.isupper():
-                    c = lex.correction(low, False, *beside(k)) if words[low] == names[low] else None
-                    if (c is None or c not in lex.common) and len(low) > 3 and names[low] < 3:
-                        c = lex.best([x for x in lex.candidates(low) if x[0] < 1 and x[1] in lex.known], *beside(k))
-                        c = c or next((u for u in own_shapes(low) if u in names and (names[u] > names[low] or names[u] == names[low] and lex.likelier(u, low))), None)
-                    elif c not in lex.common:
-                        c = None
-                    if c is None:
-                        c = lex.run_together(low, own | set(names), capital=True)
-                    if c:
-                        found = found or f"{part}={c}"
-                    elif not lex.is_known(base.lower()):
-                        unknown.append((part, k))
-                else:
-                    c = lex.correction(low, True, *beside(k)) or lex.run_together(low, own)
-                    if c is None and len(low) > 4:
-                        c = next((u for u in own_shapes(low) if u in own), None)
-                    if c:
-                        found = found or f"{part}={c}"
-                    elif not lex.is_known(base.lower()):
-                        unknown.append((part, k))
-        if not found:
+                note = checked(part, _beside(toks, k))
+                if note:
+                    found.setdefault(k, []).append(note)
+                elif note is None and not broken and not lex.is_known(base.lower()):
+                    unknown.append((part, k))
+        if every or not found:
             for k in range(len(toks) - 1):
                 a, b = cores[k], cores[k + 1]
-                if not a.isalpha() or not b.isalpha() or toks[k][0][-1] in ".,;:!?)”’" or toks[k + 1][1] - toks[k][2] != 1 or k == 0 and first or k + 1 == len(toks) - 1 and last or not b[0].islower() and not a.isupper():
+                if k in found or k + 1 in found or k in apart or not a.isalpha() or not b.isalpha() or toks[k][0][-1] in ".,;:!?)”’" or toks[k + 1][1] - toks[k][2] != 1 or k == 0 and first or k + 1 == len(toks) - 1 and last or not b[0].islower() and not a.isupper():
                     continue
                 la, lb = a.lower(), b.lower()
                 if la in lex.common and lb in lex.common:
                     continue
-                if lex.is_known(la) and lex.is_known(lb) and la in lex.common and lb in lex.common:
-                    continue
                 j = la + lb
-                if j in lex.common or len(j) > 4 and (j in own or j in lex.known) and not (lex.is_known(la) and lex.is_known(lb)) or len(j) > 4 and names[j] and not lex.is_known(lb):
-                    found = f"{a} {b}={j}"
-                    break
-                if a[0].isupper() and len(a) < 5 and not lex.is_known(la) and not lex.is_known(lb) and lb not in own and words[lb] == 1 and len(lb) > 3 and not a.isupper():
-                    found = f"{a} {b}={j}"
-                    break
-        if not found:
-            found = _other_error([(part, k, *beside(k)) for part, k in unknown], toks, begins.get(i, True), words, names, lex)
-        if found:
-            out.append((i, "misread", found))
+                whole = j in lex.common or len(j) > 4 and (j in own or j in lex.known) and not (lex.is_known(la) and lex.is_known(lb)) or len(j) > 4 and names[j] and not lex.is_known(lb)
+                if whole or a[0].isupper() and len(a) < 5 and not lex.is_known(la) and not lex.is_known(lb) and lb not in own and words[lb] == 1 and len(lb) > 3 and not a.isupper():
+                    found[k] = [f"{a} {b}={j}"]
+                    apart |= {k, k + 1}
+                    if not every:
+                        break
+        for part, k in unknown:
+            if k not in apart and (every or not found):
+                note = _other_error([(part, k, *_beside(toks, k))], toks, begins.get(i, True), words, names, lex)
+                if note:
+                    found.setdefault(k, []).append(note)
+        notes = [x for k in sorted(found) for x in found[k]]
+        out.extend((i, "misread", x) for x in (notes if every else notes[:1]))
     return out
 
 
+def _base(core: str) -> str:
+    """A word without its genitive or elided ending."""
+    return re.split(r"['’]", core)[0] if re.search(r"['’]s?$|['’]\w{1,2}$", core) else core
+
+
+def _beside(toks: list[tuple[str, int, int]], k: int) -> tuple[str, str]:
+    """The words on both sides of a token of a line."""
+    return (toks[k - 1][0].strip(_STRIP).lower() if k else ""), (toks[k + 1][0].strip(_STRIP).lower() if k + 1 < len(toks) else "")
+
+
 def _other_error(unknown: list[tuple[str, int, str, str]], toks: list[tuple[str, int, int]], begins: bool, words: Counter, names: Counter, lex: Lexicon) -> str:
     """The first word of a line that is near a usual word by any error, with that word, else ''.
 
@@ -575,13 +599,22 @@ def _other_error(unknown: list[tuple[str, int, str, str]], toks: list[tuple[str,
     return ""
 
 
+def _put_right(s: str, note: str) -> str:
+    """``s`` with the first such whole word put right."""
+    seen, _, true = note.partition("=")
+    if not true or seen not in s:
+        return s
+    return regex.sub(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){regex.escape(seen)}(?![\p{{L}}\p{{M}}\p{{N}}])", lambda m: true.capitalize() if seen[:1].isupper() else true, s, count=1)
+
+
 def repair(text: str, filename: str | None, lex: Lexicon) -> str:
     """Continuous paragraphs: furniture and specks gone, broken words joined, misread words put right."""
     lines = [x.rstrip("\r") for x in text.split("\n")]
-    notes: dict[int, dict[str, str]] = {}
-    for i, k, c in inspect(text, filename, lex):
-        notes.setdefault(i, {})[k] = c
+    notes: dict[int, dict[str, list[str]]] = {}
+    for i, k, c in inspect(text, filename, lex, every=True):
+        notes.setdefault(i, {}).setdefault(k, []).append(c)
     paragraphs, now, joint = [], "", " "
+    halves: list[str] = []
     blank = page = False
     for i, x in enumerate(lines):
         n = notes.get(i, {})
@@ -592,16 +625,24 @@ def repair(text: str, filename: str | None, lex: Lexicon) -> str:
         if not s:
             blank = True
             continue
-        if "misread" in n and "=" in n["misread"]:
-            seen, _, true = n["misread"].partition("=")
-            if true and seen in s:
-                s = s.replace(seen, true.capitalize() if seen[:1].isupper() else true, 1)
+        misread = n.get("misread", [])
+        for note in misread:
+            s = _put_right(s, note)
         # a page that ends within a sentence goes on behind its furniture
         if now and blank and not (page and (joint != " " or not _END.search(now) and s[:1].islower())):
             paragraphs.append(now)
-            now, joint = "", " "
+            now, joint, halves = "", " ", []
+        cut = len(now)
         broken = "hyphen" in n
         now = (now + joint + s if now else s).rstrip()
+        if joint == "":  # the two halves of a word stand together now
+            at = cut - len(re.search(r"\S*$", now[:cut]).group())
+            end = cut + len(re.match(r"\S*", now[cut:]).group())
+            mended = now[at:end]
+            for note in halves + misread:
+                mended = _put_right(mended, note)
+            now = now[:at] + mended + now[end:]
+        halves = misread
         compound = not broken and s[-1] in _BREAK and s[-2:-1].isalpha()
         if broken:
             now = now.rstrip(_BREAK)
@@ -656,14 +697,17 @@ def _mapped(documents: DataFrame, lex: Lexicon, doc_id: str, text: str, filename
 def disturbed_lines(documents: DataFrame, lex: Lexicon, doc_id: str, text: str, filename: str) -> DataFrame:
     """(doc_id, line_no, kind, note) of all header, page_number, hyphen, misread and speck lines.
 
-    Null texts give no rows, null file names only say nothing of the title; repeated rows give
+    A note names each misread word of its line. Null texts give no rows, null file names only say nothing of the title; repeated rows give
     their lines each; texts are read whole; an empty table gives no rows.
     """
 
     def lines(t: str, f: str | None, x: Lexicon) -> list:
-        return sorted({(i, k): c for i, k, c in inspect(t, f, x)}.items())
+        notes: dict[tuple[int, str], list[str]] = {}
+        for i, k, c in inspect(t, f, x, every=True):
+            notes.setdefault((i, k), []).append(c)
+        return [(i, k, "; ".join(c)) for (i, k), c in sorted(notes.items())]
 
-    return _mapped(documents, lex, doc_id, text, filename, lambda t, f, x: [(i, k, c) for (i, k), c in lines(t, f, x)], "line_no int, kind string, note string", ["line_no", "kind", "note"])
+    return _mapped(documents, lex, doc_id, text, filename, lines, "line_no int, kind string, note string", ["line_no", "kind", "note"])
 
 
 def repaired_texts(documents: DataFrame, lex: Lexicon, doc_id: str, text: str, filename: str) -> DataFrame:

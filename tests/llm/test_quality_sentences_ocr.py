@@ -217,3 +217,24 @@ def test_pairs_are_counted_by_the_same_hash(spark):
     df = spark.createDataFrame([(i, "A long Brass band played.") for i in range(6)] + [(9, None), (10, "w" * 60)], "id long, text string")
     lex = ocr.fit_lexicon(df, "id", "text")
     assert lex.context("brass", "band", "played") == 12 and lex.context("long", "band", "") == 0
+
+
+def test_every_misread_word_of_a_line_is_noted_and_put_right(spark):
+    lex = lexicon()
+    text = "The tailors crossed tbe rivxr with care beforw dawn.\nTfe old ferry was beside the trav-\nzllers with great c are, theferry in tbe market."
+    every = [x for x in ocr.inspect(text, None, lex, every=True) if x[1] == "misread"]
+    assert [x[2] for x in every if x[0] == 0] == ["tbe=the", "rivxr=river", "beforw=before"]
+    assert {x[2] for x in every if x[0]} == {"Tfe=the", "travzllers=travellers", "c are=care", "theferry=the ferry", "tbe=the"}
+    assert ocr.repair(text, None, lex) == "The tailors crossed the river with care before dawn. The old ferry was beside the travellers with great care, the ferry in the market."
+    notes = ocr.disturbed_lines(spark.createDataFrame([(1, text, None)], "id long, t string, f string"), lex, "id", "t", "f").filter("line_no = 0").collect()
+    assert [r["note"] for r in notes] == ["tbe=the; rivxr=river; beforw=before"]
+
+
+def test_broken_words_are_searched_as_wholes():
+    assert [x[2] for x in ocr.inspect("We crossed the old mar-\nkzt with care", None, lexicon(), every=True)] == ["markzt", "markzt=market"]
+    assert ocr.repair("beside the mar-\nkct, beforw dawn", None, lexicon()) == "beside the market, before dawn"
+
+
+def test_only_whole_words_are_put_right():
+    assert ocr.repair("We wxas beside wxash.", None, lexicon()).startswith("We was beside")
+    assert ocr._put_right("atbe tbe", "tbe=the") == "atbe the"
