@@ -238,3 +238,19 @@ def test_broken_words_are_searched_as_wholes():
 def test_only_whole_words_are_put_right():
     assert ocr.repair("We wxas beside wxash.", None, lexicon()).startswith("We was beside")
     assert ocr._put_right("atbe tbe", "tbe=the") == "atbe the"
+
+
+def test_every_document_is_learnt(spark):
+    from quire.llm import sentences
+
+    texts = corpus() + ["\n\n".join(d[0].join(p) for p in d[1]) for d in other_scripts()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "We saw Dr. Ulute."), (7, None)], "id long, text string").repartition(5)
+    at_hand, stored = train([*texts, "We saw Dr. Ulute."]), fit_boundaries(df, "id", "text")
+    assert at_hand.words == stored.words and at_hand.prior.hashes.tolist() == stored.prior.hashes.tolist() and at_hand.prior.p.tolist() == stored.prior.p.tolist()
+    assert at_hand.pool == pytest.approx(stored.pool) and at_hand.marks == pytest.approx(stored.marks)
+    assert [dict(x) for x in at_hand.follow] == [pytest.approx(dict(x)) for x in stored.follow]
+    # of 9,000 documents three have an abbreviation that no other shows
+    many = spark.range(9000).selectExpr("id", "if(id % 3000 = 17, 'They met Zq. Torva. They met Zq. Selmi at the hut.', 'Nobody left the hut. They met Torva.') text")
+    tally = sentences.Texts(many, "text").show()
+    assert tally.finals == 9000 and tally.middles == 9006
+    assert fit_boundaries(many, "id", "text").prior.get("zq") < 0.5
